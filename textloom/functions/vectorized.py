@@ -98,16 +98,27 @@ def wide_permutations(num_perm: int = NUM_PERM, seed: int = 12345) -> tuple[np.n
     return a.astype(np.uint64), b.astype(np.uint64)
 
 
-def _mersenne_minimum(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """min over hashes of (a*h + b) mod (2^bits - 1), by folding instead of division."""
-    prime = np.uint64((1 << bits) - 1)
-    shift = np.uint64(bits)
+def _mersenne_minimum(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int, width: int = 512) -> np.ndarray:
+    """min over hashes of (a*h + b) mod (2^bits - 1), by folding instead of division.
+
+    Two buffers small enough for the processor cache are reused throughout.
+    """
+    prime, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
     best = np.full(a.size, prime, dtype=np.uint64)
-    for at in range(0, hashes.size, 4096):
-        x = a[:, None] * hashes[None, at : at + 4096] + b[:, None]
+    value = np.empty((a.size, width), dtype=np.uint64)
+    carry = np.empty_like(value)
+    for at in range(0, hashes.size, width):
+        part = hashes[at : at + width]
+        x, y = value[:, : part.size], carry[:, : part.size]
+        np.multiply(a[:, None], part, out=x)
+        x += b[:, None]
         for _ in range(2):
-            x = (x & prime) + (x >> shift)
-        best = np.minimum(best, np.minimum(x, x - prime).min(axis=1))
+            np.right_shift(x, shift, out=y)
+            x &= prime
+            x += y
+        if x.max() >= prime:
+            x[x >= prime] -= prime
+        np.minimum(best, x.min(axis=1), out=best)
     return best
 
 

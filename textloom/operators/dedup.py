@@ -263,7 +263,7 @@ def wide_candidates(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text:
                     cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
     """LSH candidates over the untrimmed shingle rule and the wide hash family."""
     build = wide_minhash_column(cfg.k, cfg.num_perm)
-    reduced = F.regexp_replace(F.col(text), f"[{T.SPACE_CLASS}]+", " ")
+    reduced = F.regexp_replace(F.col(text), T.SPACE_RUN, " ")
     sigs = docs.join(sets.select(key), key, "left_semi").select(key, build(reduced).alias("sig"))
     return candidate_pairs(materialize(sigs, "signatures"), key, cfg).select("i", "j")
 
