@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import dedup, detectors, governance
+from textloom.operators import dedup as near_copies
+from textloom.operators import detectors, governance
 from textloom.operators.cleaning import normalize_documents
 from textloom.operators.statistics import stage_funnel
 from textloom.operators.stream import placed_units, split_sizes
@@ -22,7 +23,7 @@ class CorpusConfig:
     max_symbol_ratio: float = T.MAX_SYMBOL_RATIO
     max_repeat_ratio: float = T.MAX_REPEAT_RATIO
     dedup: bool = True
-    near: dedup.NearDupConfig = field(default_factory=dedup.NearDupConfig)
+    near: near_copies.NearDupConfig = field(default_factory=near_copies.NearDupConfig)
     val_frac: float = 0.1
     test_frac: float = 0.1
 
@@ -47,10 +48,10 @@ def prepare_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg
     reached = table.select(key, "reason", F.when(F.col("reason") == "ok", 1).otherwise(0).alias("reached"))
     if not cfg.dedup:
         return PreparedCorpus(good, reached.withColumn("reached", F.col("reached") * 3))
-    unique = materialize(dedup.exact_dedup(good, key, text), "unique")
+    unique = materialize(near_copies.exact_dedup(good, key, text), "unique")
     passed = unique.select(key).withColumn("second", F.lit(1))
     if near:
-        kept = materialize(dedup.near_dedup_keys(unique, key, text, cfg.near), "kept")
+        kept = materialize(near_copies.near_dedup_keys(unique, key, text, cfg.near), "kept")
         survivors = unique.join(kept, key, "left_semi")
         passed = passed.join(kept.withColumn("third", F.lit(1)), key, "left")
     else:
