@@ -129,3 +129,48 @@ exchanges AS MATERIALIZED (
   SELECT b.conv_id * 1000 + b.turn AS pair_id, b.conv_id, a.text AS prompt, b.text AS response
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
   WHERE a.role = 'user' AND b.role = 'assistant')"""
+
+
+# ---- events read as serving requests and as training logs ------------------
+
+CANARY_PCT, SHADOW_PCT = 20, 50
+
+
+def requests(events: DataFrame) -> DataFrame:
+    """One request per event: endpoint, status, latency, tokens, batch size, variant."""
+    from textloom.operators.telemetry import canary_routing
+
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rows = events.select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("endpoint"),
+        F.when(F.col("event_type") == "error", 500).otherwise(200).cast("bigint").alias("status"),
+        (F.col("value") / 100).alias("latency"), k.alias("tokens"), (F.pmod(k, F.lit(8)) + 1).alias("batch_size"),
+    )
+    return canary_routing(rows, CANARY_PCT, SHADOW_PCT)
+
+
+REQUESTS = f"""
+requests AS MATERIALIZED (
+  SELECT event_id, ts, user_id, event_type AS endpoint, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+    value / 100 AS latency, (props::JSON->>'k')::BIGINT AS tokens, (props::JSON->>'k')::BIGINT % 8 + 1 AS batch_size,
+    CASE WHEN ('0x' || left(sha1(event_id::VARCHAR), 8))::BIGINT % 100 < {CANARY_PCT} THEN 'canary' ELSE 'production' END AS variant,
+    ('0x' || left(sha1('shadow:' || event_id), 8))::BIGINT % 100 < {SHADOW_PCT} AS shadowed
+  FROM events)"""
+
+
+def run_log(events: DataFrame) -> DataFrame:
+    """Event types as runs and days as steps; the metric columns are daily aggregates."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return events.groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("step")).agg(
+        (F.avg("value") / 10).alias("train_loss"), (F.avg(F.col("value") * (k + 50)) / 1000).alias("val_loss"),
+        F.max("value").alias("reward"), (F.countDistinct("user_id") / F.count("*")).alias("diversity"),
+        F.avg((k < 50).cast("double")).alias("train_acc"), F.avg((F.col("value") < 50).cast("double")).alias("held_acc"),
+    )
+
+
+RUN_LOG = """
+run_log AS MATERIALIZED (
+  SELECT event_type AS run, day(ts) AS step, avg(value) / 10 AS train_loss, avg(value * (k + 50)) / 1000 AS val_loss,
+    max(value) AS reward, count(DISTINCT user_id)::DOUBLE / count(*) AS diversity,
+    avg((k < 50)::INT) AS train_acc, avg((value < 50)::INT) AS held_acc
+  FROM (SELECT *, (props::JSON->>'k')::BIGINT AS k FROM events) GROUP BY 1, 2)"""

@@ -54,10 +54,8 @@ def band_slices(sig: Column, cfg: NearDupConfig) -> Column:
 
 
 def shares_band(a: Column, b: Column, cfg: NearDupConfig) -> Column:
-    return F.arrays_overlap(
-        F.transform(band_slices(a, cfg), lambda s, i: F.struct(i.alias("band"), s.alias("rows"))),
-        F.transform(band_slices(b, cfg), lambda s, i: F.struct(i.alias("band"), s.alias("rows"))),
-    )
+    same = F.zip_with(band_slices(a, cfg), band_slices(b, cfg), lambda x, y: x == y)
+    return F.array_contains(same, True)
 
 
 def band_members(sigs: DataFrame, key: str, cfg: NearDupConfig) -> DataFrame:
@@ -205,6 +203,9 @@ def _front_round(edges, hot, sigs, key, cfg):
 
 # ---- exact similarity joins ------------------------------------------------
 
+MARGIN = 0.01
+
+
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
     """One row per distinct shingle set: first document, copies, sorted shingles."""
     sets = docs.select(F.col(key), F.sort_array(T.untrimmed_shingles(F.col(text), k)).alias("shingles"))
@@ -254,7 +255,17 @@ def jaccard_pairs(sets: DataFrame, key: str = "doc_id", threshold: float = 0.5)
 
 
 def verify_jaccard(candidates: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
-    full = _attach(candidates, sets, key, "shingles")
+    """Exact Jaccard of candidate pairs, most of them turned away before strings travel.
+
+    First the sizes alone (they bound the ratio), then 64-bit hashes of the
+    shingles: collisions could move that ratio by far less than ``MARGIN``, so
+    what it leaves out is certain.  Only the rest compares the strings.
+    """
+    sized = _attach(candidates, sets.select(key, F.size("shingles").alias("n")), key, "n")
+    close = sized.where(F.least("n_i", "n_j") > threshold * F.greatest("n_i", "n_j")).select("i", "j")
+    hashed = sets.select(key, F.transform("shingles", lambda g: F.xxhash64(g)).alias("h"))
+    likely = _attach(close, hashed, key, "h").where(jaccard(F.col("h_i"), F.col("h_j")) > threshold - MARGIN).select("i", "j")
+    full = _attach(likely, sets, key, "shingles")
     measured = full.select("i", "j", jaccard(F.col("shingles_i"), F.col("shingles_j")).alias("jaccard"))
     return measured.where(F.col("jaccard") > threshold)
 

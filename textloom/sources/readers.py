@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.ordinals import with_ordinal
@@ -26,32 +26,54 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, doc_sep: str | None = None) -> DataFrame:
-    """One file cut at ``doc_sep`` into documents ``path#i``; no separator, one document.
+    """File(s) cut at ``doc_sep`` into numbered documents; no separator, one document each.
 
     The splittable text reader cuts at the separator.  It yields no row after a
     trailing separator, where cutting a string would give one empty document,
-    so that one is added back.
+    so that one is added back per file.
     """
     if not doc_sep:
-        whole = spark.read.text(path, wholetext=True)
-        return whole.select(F.lit(0).cast("bigint").alias("doc_id"), F.make_valid_utf8("value").alias("text"), F.lit(path).alias("source"))
-    rows = spark.read.option("lineSep", doc_sep).text(path).select(
-        F.make_valid_utf8("value").alias("text"), F.monotonically_increasing_id().alias("row")
-    )
-    # Row numbers grow with the file offset, so they give the order once written down.
-    placed = with_ordinal(materialize(rows, "delimited"), "row", "doc_id").select("doc_id", "text")
-    tail = _ends_with(spark, path, doc_sep)
-    if tail:
-        count = placed.agg(F.count("*").alias("doc_id")).select("doc_id", F.lit("").alias("text"))
-        placed = placed.unionByName(count)
-    return placed.select("doc_id", "text", F.concat(F.lit(f"{path}#"), F.col("doc_id").cast("string")).alias("source"))
+        raw = spark.read.text(path, wholetext=True).select(F.make_valid_utf8("value").alias("text"), F.col("_metadata.file_path").alias("place"))
+    else:
+        # File, offset of the split and row inside it: the order of the documents.
+        raw = spark.read.option("lineSep", doc_sep).text(path).select(
+            F.make_valid_utf8("value").alias("text"),
+            _place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        )
+        raw = raw.unionByName(_trailing_documents(spark, path, doc_sep))
+    placed = with_ordinal(materialize(raw, "delimited"), "place", "doc_id")
+    source = F.concat(F.substring_index("place", "|", 1), F.lit("#"), F.col("doc_id").cast("string"))
+    return placed.select("doc_id", "text", source.alias("source"))
+
+
+def _place(file: Column, offset: Column, row: Column) -> Column:
+    return F.concat_ws("|", file, F.lpad(offset.cast("string"), 20, "0"), F.lpad(row.cast("string"), 20, "0"))
+
+
+def _trailing_documents(spark: SparkSession, path: str, doc_sep: str) -> DataFrame:
+    """One empty document, placed last, per file that is empty or ends with the separator."""
+    names = [f for f in _files(spark, path) if _ends_with(spark, f, doc_sep)]
+    schema = "text string, file string, last bigint"
+    rows = spark.createDataFrame([("", f, (1 << 62)) for f in names], schema)
+    return rows.select("text", _place(F.col("file"), F.col("last"), F.lit(0)).alias("place"))
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """File paths as the reader reports them; the driver lists names, as any scan does."""
+    target, fs = _hadoop(spark, path)
+    found = [e.getPath() for e in fs.listStatus(target) if e.isFile()]
+    kept = [p for p in found if not p.getName().startswith(("_", "."))]
+    return [p.toUri().toString().replace("file:/", "file:///", 1) if p.toUri().getScheme() == "file" else p.toUri().toString() for p in kept]
 
 
 def _ends_with(spark: SparkSession, path: str, suffix: str) -> bool:
     """Look at the last bytes of the file through the cluster's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target, fs = _hadoop(spark, path)
     size, wanted = fs.getFileStatus(target).getLen(), suffix.encode("utf-8")
     if size < len(wanted):
         return size == 0
