@@ -154,9 +154,18 @@ def _(spark, sf):
     return Q.detector_report(_messy(spark, sf)).drop("note")
 
 
-@query("c08_detector_report_pages", None)
+_PAGE_HITS = f"""
+page_text AS (SELECT page_id, html AS text FROM pages),
+hits AS MATERIALIZED (SELECT page_id, {', '.join(f'{t} AS {n}' for n, t in _TESTS.items())}
+  FROM page_text LEFT JOIN {X.sql_top_share('page_text', 'page_id')} USING (page_id))"""
+
+
+@query("c08_report_document", f"""
+WITH {_PAGE_HITS}, {_sql_report()} SELECT total_docs, (SELECT bool_and(pass) FROM report) AS all_pass, name, hits, pct, pass, least(hits, 3)::BIGINT AS samples FROM report""")
 def _(spark, sf):
-    return Q.report_document(load(spark, sf, "pages"), "page_id", "html")
+    document = Q.report_document(load(spark, sf, "pages"), "page_id", "html")
+    return document.select("total_docs", "all_pass", F.inline("detectors")).select(
+        "total_docs", "all_pass", "name", "hits", "pct", "pass", F.size("samples").cast("bigint").alias("samples"))
 
 
 @query("c08_gate", f"""

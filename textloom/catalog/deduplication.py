@@ -31,10 +31,10 @@ def _(spark, sf):
     return D.first_by_content(_documents(spark, sf))
 
 
-def _sql_sets(collapsed: str, short: str) -> str:
+def _sql_sets(collapsed: str, short: str, table: str = "documents") -> str:
     """CTEs docs and grams: distinct 5-character pieces per document."""
     return f"""
-docs AS MATERIALIZED (SELECT doc_id, s, string_split(s, '') AS c FROM (SELECT doc_id, {collapsed} AS s FROM documents)),
+docs AS MATERIALIZED (SELECT doc_id, s, string_split(s, '') AS c FROM (SELECT doc_id, {collapsed} AS s FROM {table})),
 grams AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN {short} THEN [s] ELSE list_distinct(list_transform(
     list_zip(c[1:-5], c[2:-4], c[3:-3], c[4:-2], c[5:]), lambda x: x[1] || x[2] || x[3] || x[4] || x[5])) END) AS g
   FROM docs WHERE s <> '' OR NOT ({short}))"""
@@ -111,13 +111,20 @@ def _(spark, sf):
     return D.candidate_pairs(_representatives(spark, sf)).select("i", "j")
 
 
-_GREEDY = f"""{_SIGS}, {_PAIRS},
+_SCAN = """
 edges AS MATERIALIZED (SELECT j, list(i) AS earlier FROM pairs WHERE similarity >= 0.6 GROUP BY j),
 ordered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY j) AS k, j, earlier FROM edges),
 scan(k, dropped) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
   SELECT o.k, CASE WHEN len(list_filter(o.earlier, lambda e: NOT list_contains(s.dropped, e))) > 0 THEN list_append(s.dropped, o.j) ELSE s.dropped END
   FROM scan s JOIN ordered o ON o.k = s.k + 1),
 gone AS (SELECT unnest(dropped) AS doc_id FROM scan WHERE k = (SELECT max(k) FROM scan))"""
+_GREEDY = f"{_SIGS}, {_PAIRS}, {_SCAN}"
+
+
+def near_sql(table: str) -> str:
+    """CTEs up to gone(doc_id): what the sequential greedy scan of a table drops."""
+    sets = _sql_sets(_COLLAPSED, "len(c) <= 5", table)
+    return f"{sets}, {_sql_signatures(permutations(), MERSENNE_31, f'h % {MERSENNE_31}')}, {_PAIRS}, {_SCAN}"
 
 
 @query("d07_near_dedup", f"WITH RECURSIVE {_GREEDY} SELECT doc_id FROM documents WHERE doc_id NOT IN (FROM gone)")

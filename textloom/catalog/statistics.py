@@ -2,13 +2,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.catalog import load, query
+from textloom.catalog import deduplication as D
 from textloom.catalog import fragments as X
+from textloom.catalog import load, query
 from textloom.operators import statistics as S
-from textloom.operators.stream import placed_units
-from textloom.operators.tokens import stream_vocabulary
 from textloom.plans import corpus as P
-from textloom.session import materialize
 
 _COUNTS = f"{X.STREAM}, counts AS (SELECT ch, count(*) AS n, min(pos) AS first_at FROM chars GROUP BY ch)"
 _ENTROPY = "log2(sum(n)) - sum(n * log2(n)) / sum(n)"
@@ -91,7 +89,13 @@ def _(spark, sf):
     return P.funnel(_exact_only(spark, sf))
 
 
-@query("e07_stage_funnel_near")
+_NEAR = D.near_sql("survivors")
+
+
+@query("e07_stage_funnel_near", f"""
+WITH RECURSIVE {_UNIQUE}, {_NEAR}, m AS (SELECT count(*) AS d FROM survivors WHERE doc_id NOT IN (FROM gone))
+SELECT stage, i::BIGINT AS n_in, o::BIGINT AS n_out, (i - o)::BIGINT AS dropped FROM (
+  SELECT 'quality' AS stage, a AS i, b AS o FROM n UNION ALL SELECT 'exact_dedup', b, c FROM n UNION ALL SELECT 'near_dedup', c, d FROM n, m)""")
 def _(spark, sf):
     return P.funnel(P.prepare_corpus(X.messy(load(spark, sf, "documents"))))
 
