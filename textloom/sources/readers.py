@@ -16,6 +16,17 @@ REQUEST_LOG_SCHEMA = (
 )
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, spread over the cluster when it has fewer pieces than cores.
+
+    A small file is often one row group, hence one task however many splits are
+    planned.  A large table has more splits than cores and is left alone.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.txt`` below ``path`` as one document, numbered in path order."""
     raw = (
