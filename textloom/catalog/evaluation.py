@@ -174,14 +174,17 @@ def _tokens(spark, sf):
         F.left("g", F.lit(1)).alias("prev"), F.right("g", F.lit(1)).alias("ch"),
     )
     v, total = uni.agg(F.count("*")).scalar(), uni.agg(F.sum("n")).scalar()
-    k = F.lit(N.ADD_K)
-    reference = places.join(uni, "ch", "left").select(
-        F.lit("reference").alias("model"), *places.columns, F.log((F.coalesce("n", F.lit(0)) + k) / (total + k * v)).alias("logp"))
-    context = bi.groupBy("prev").agg(F.sum("n").alias("total"))
-    policy = places.join(bi, ["prev", "ch"], "left").join(context, "prev", "left").select(
-        F.lit("policy").alias("model"), *places.columns,
-        F.log((F.coalesce("n", F.lit(0)) + k) / (F.coalesce("total", F.lit(0)) + k * v)).alias("logp"))
-    return materialize(reference.unionByName(policy), "tokens")
+    k, none = F.lit(N.ADD_K), F.lit(0)
+    context = bi.groupBy("prev").agg(F.sum("n").alias("follows"))
+    # Both models in one pass over the positions.
+    joined = places.join(uni.withColumnRenamed("n", "n1"), "ch", "left").join(
+        bi.withColumnRenamed("n", "n2"), ["prev", "ch"], "left"
+    ).join(context.withColumnRenamed("follows", "seen"), "prev", "left")
+    reference = F.log((F.coalesce("n1", none) + k) / (total + k * v))
+    policy = F.log((F.coalesce("n2", none) + k) / (F.coalesce("seen", none) + k * v))
+    models = F.inline(F.array(
+        F.struct(F.lit("reference").alias("model"), reference.alias("logp")), F.struct(F.lit("policy").alias("model"), policy.alias("logp"))))
+    return materialize(joined.select(*places.columns, models), "tokens")
 
 
 def _sequences(spark, sf):

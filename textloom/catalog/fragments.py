@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import CONTROL_CHARS, HTML_TAG, LINE_SPACE_CLASS, SPACE_CLASS
+from textloom.session import spread
 
 NL = "chr(10)"
 
@@ -119,9 +120,10 @@ def exchanges(turns: DataFrame) -> DataFrame:
     """User turns with the assistant turn that follows, numbered by position of the answer."""
     ask = turns.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
     reply = turns.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("response"))
-    return ask.join(reply, ["conv_id", "turn"]).select(
+    pairs = ask.join(reply, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "conv_id", "prompt", "response"
     )
+    return spread(pairs)
 
 
 EXCHANGES = """

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -103,3 +104,65 @@ def decode_column(tokens: Sequence[str]):
         )
 
     return decode
+
+
+def count_windows(texts: Sequence[str], order: int) -> tuple[list[str], np.ndarray]:
+    """Distinct ``order``-character windows inside the texts, with their counts."""
+    points = [code_points(t) for t in texts if t]
+    if not points:
+        return [], np.empty(0, dtype=np.int64)
+    stream = np.concatenate(points)
+    owner = np.repeat(np.arange(len(points)), [p.size for p in points])
+    if stream.size < order:
+        return [], np.empty(0, dtype=np.int64)
+    alphabet, ids = np.unique(stream, return_inverse=True)
+    ids, span = ids.astype(np.int64), alphabet.size
+    codes = ids
+    for step in range(1, order):
+        if span * alphabet.size >= 1 << 62:  # renumber before the code would overflow
+            known, codes = np.unique(codes, return_inverse=True)
+            span = known.size
+        codes = codes[:-1] * alphabet.size + ids[step:]
+        span *= alphabet.size
+    starts = np.flatnonzero(owner[: codes.size] == owner[order - 1 :])
+    if starts.size == 0:
+        return [], np.empty(0, dtype=np.int64)
+    _, first, counts = np.unique(codes[starts], return_index=True, return_counts=True)
+    at = starts[first]
+    flat = stream[at[:, None] + np.arange(order)].tobytes().decode("utf-32-le", "surrogatepass")
+    return [flat[i : i + order] for i in range(0, len(flat), order)], counts
+
+
+SLICE_CHARS = 1 << 20  # characters counted at a time
+
+
+def window_counts(table: DataFrame, text: str, order: int, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of all ``order``-character windows, pre-aggregated inside the tasks.
+
+    The tasks emit one row per distinct window and slice, so the shuffle sees a
+    small part of the positions.
+    """
+    group = list(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*[batch.column(g).to_pylist() for g in group])) if group else [()] * batch.num_rows
+            waiting: dict[tuple, list[str]] = {}
+            size = 0
+            for key, value in zip(keys, batch.column("_text").to_pylist()):
+                waiting.setdefault(key, []).append(value or "")
+                size += len(value or "")
+                if size >= SLICE_CHARS:
+                    yield from emit(waiting)
+                    waiting, size = {}, 0
+            yield from emit(waiting)
+
+    def emit(waiting: dict[tuple, list[str]]) -> Iterator[pa.RecordBatch]:
+        for key, values in waiting.items():
+            grams, counts = count_windows(values, order)
+            columns = {g: pa.array([k] * len(grams), pa.string()) for g, k in zip(group, key)}
+            yield pa.RecordBatch.from_pydict({**columns, "gram": pa.array(grams, pa.string()), "n": pa.array(counts, pa.int64())})
+
+    schema = S.StructType([*[S.StructField(g, S.StringType()) for g in group], S.StructField("gram", S.StringType()), S.StructField("n", S.LongType())])
+    partial = table.select(*[F.col(g).cast("string").alias(g) for g in group], F.col(text).alias("_text")).mapInArrow(run, schema)
+    return partial.groupBy(*group, "gram").agg(F.sum("n").alias("n"))

@@ -65,21 +65,45 @@ def _crc_table() -> np.ndarray:
 CRC_TABLE = _crc_table()
 
 
+def _advanced_tables(steps: int) -> np.ndarray:
+    """Row k: what each byte value contributes when k more bytes follow it."""
+    rows = [CRC_TABLE]
+    for _ in range(steps - 1):
+        rows.append((rows[-1] >> 8) ^ CRC_TABLE[rows[-1] & 0xFF])
+    return np.stack(rows)
+
+
+MAX_WIDTH = 32  # bytes of a window that are looked up directly: eight 4-byte characters
+CRC_ADVANCED = _advanced_tables(MAX_WIDTH)
+
+
 def window_crc32(text: str, k: int) -> np.ndarray:
-    """CRC-32 of the UTF-8 bytes of every k-character window of ``text``."""
+    """CRC-32 of the UTF-8 bytes of every k-character window of ``text``.
+
+    CRC is linear, so a window of w bytes is the XOR of one table entry per
+    byte and the checksum of w zero bytes; windows are grouped by width.
+    """
     raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
     starts = np.flatnonzero((raw & 0xC0) != 0x80)
     if starts.size <= k:
         return np.array([zlib.crc32(raw.tobytes())], dtype=np.uint32)
-    ends = np.append(starts[k:], raw.size)
-    begin = starts[: ends.size]
-    width = ends - begin
-    crc = np.full(begin.size, 0xFFFFFFFF, dtype=np.uint32)
-    for j in range(int(width.max())):
-        live = slice(None) if j < k else np.flatnonzero(width > j)
-        state = crc[live]
-        crc[live] = CRC_TABLE[(state ^ raw[begin[live] + j]) & 0xFF] ^ (state >> 8)
-    return crc ^ np.uint32(0xFFFFFFFF)
+    if starts.size == raw.size:
+        return _fixed_width_crc(raw, k, slice(0, raw.size - k + 1))
+    begin = starts[: starts.size - k + 1]
+    width = np.append(starts[k:], raw.size) - begin
+    out = np.empty(begin.size, dtype=np.uint32)
+    for w in np.flatnonzero(np.bincount(width)):
+        at = np.flatnonzero(width == w)
+        out[at] = _fixed_width_crc(raw, int(w), begin[at])
+    return out
+
+
+def _fixed_width_crc(raw: np.ndarray, width: int, begin) -> np.ndarray:
+    total = np.uint32(zlib.crc32(bytes(width)) ^ int(np.bitwise_xor.reduce(CRC_ADVANCED[:width, 0])))
+    for j in range(width):
+        column = raw[begin.start + j : begin.stop + j] if isinstance(begin, slice) else raw[begin + j]
+        total = total ^ CRC_ADVANCED[width - 1 - j][column]
+    return total
 
 
 def permutations(num_perm: int = NUM_PERM, seed: int = PERM_SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -98,27 +122,34 @@ def wide_permutations(num_perm: int = NUM_PERM, seed: int = 12345) -> tuple[np.n
     return a.astype(np.uint64), b.astype(np.uint64)
 
 
-def _mersenne_minimum(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int, width: int = 512) -> np.ndarray:
+def _folded_minimum(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int, width: int = 1024) -> np.ndarray:
     """min over hashes of (a*h + b) mod (2^bits - 1), by folding instead of division.
 
-    Two buffers small enough for the processor cache are reused throughout.
+    Buffers small enough for the processor cache are reused throughout.  One
+    fold leaves at most 2^(bits+1) - 1; subtracting the prime wraps around for
+    values that are already below it, so the smaller of both is reduced.  The
+    two values that would need a second subtraction take the slow branch.
     """
-    prime, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
-    best = np.full(a.size, prime, dtype=np.uint64)
-    value = np.empty((a.size, width), dtype=np.uint64)
-    carry = np.empty_like(value)
+    narrow = np.uint32 if bits == 31 else np.uint64
+    prime, shift, small = np.uint64((1 << bits) - 1), np.uint64(bits), narrow((1 << bits) - 1)
+    best = np.full(a.size, small, dtype=narrow)
+    wide = np.empty((a.size, width), dtype=np.uint64)
+    high = np.empty_like(wide)
+    folded, lowered = np.empty(wide.shape, dtype=narrow), np.empty(wide.shape, dtype=narrow)
     for at in range(0, hashes.size, width):
         part = hashes[at : at + width]
-        x, y = value[:, : part.size], carry[:, : part.size]
+        x, y, f, low = (buffer[:, : part.size] for buffer in (wide, high, folded, lowered))
         np.multiply(a[:, None], part, out=x)
         x += b[:, None]
-        for _ in range(2):
-            np.right_shift(x, shift, out=y)
-            x &= prime
-            x += y
-        if x.max() >= prime:
-            x[x >= prime] -= prime
-        np.minimum(best, x.min(axis=1), out=best)
+        np.right_shift(x, shift, out=y)
+        x &= prime
+        x += y
+        np.copyto(f, x, casting="unsafe")
+        np.subtract(f, small, out=low)
+        np.minimum(f, low, out=f)
+        if f.max() >= small:
+            f[f >= small] -= small
+        np.minimum(best, f.min(axis=1), out=best)
     return best
 
 
@@ -126,12 +157,12 @@ def signature(text: str, k: int, family: tuple[np.ndarray, np.ndarray]) -> np.nd
     if not text:
         return np.zeros(family[0].size, dtype=np.int64)
     hashes = (window_crc32(text, k) % np.uint32(MERSENNE_31)).astype(np.uint64)
-    return _mersenne_minimum(hashes, *family, bits=31).astype(np.int64)
+    return _folded_minimum(hashes, *family, bits=31).astype(np.int64)
 
 
 def wide_signature(text: str, k: int, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     hashes = window_crc32(text, k).astype(np.uint64)
-    return _mersenne_minimum(hashes, *family, bits=61).astype(np.int64)
+    return _folded_minimum(hashes, *family, bits=61).astype(np.int64)
 
 
 def _signature_column(build, family, k: int):

@@ -183,7 +183,7 @@ def train_bpe(docs: DataFrame, num_merges: int, key: str = "doc_id", text: str =
     one stream.  The driver holds the vocabulary, the merge list, ``LOOKAHEAD``
     pairs and one edge row per chunk.
     """
-    chunks = materialize(stream_chunks(docs, key, text, chunk_chars), "chunks")
+    chunks = materialize(stream_chunks(docs, key, text, chunk_chars), "chunks", heavy=True)
     base = vocabulary_tokens(char_vocabulary(chunks, "body"))
     tokens = materialize(chunks.select("chunk", encode_column(base)(F.col("body")).alias("ids")), "tokens")
     model = BpeModel(base, vocab=list(base))

@@ -129,7 +129,7 @@ def near_dedup_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", cf
     ``front`` undecided members, settles them, compares the survivors with the
     rest of the bucket (salted), and drops what is similar.
     """
-    sigs = materialize(representatives(signatures(docs, key, text, cfg), key), "signatures")
+    sigs = materialize(representatives(signatures(docs, key, text, cfg), key), "signatures", heavy=True)
     members = band_members(sigs, key, cfg)
     sized = materialize(members.join(bucket_sizes(members), "bucket"), "buckets")
     small = sized.where(F.col("size") <= cfg.front)
@@ -276,13 +276,13 @@ def wide_candidates(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text:
     build = wide_minhash_column(cfg.k, cfg.num_perm)
     reduced = F.regexp_replace(F.col(text), T.SPACE_RUN, " ")
     sigs = docs.join(sets.select(key), key, "left_semi").select(key, build(reduced).alias("sig"))
-    return candidate_pairs(materialize(sigs, "signatures"), key, cfg).select("i", "j")
+    return candidate_pairs(materialize(sigs, "signatures", heavy=True), key, cfg).select("i", "j")
 
 
 def lsh_jaccard_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5,
                       cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
     """Pairs found by banding and confirmed by exact Jaccard."""
-    sets = materialize(shingle_sets(docs, key, text, cfg.k), "shingles")
+    sets = materialize(shingle_sets(docs, key, text, cfg.k), "shingles", heavy=True)
     return verify_jaccard(wide_candidates(docs, sets, key, text, cfg), sets, key, threshold)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
+from textloom.functions.coding import window_counts
 from textloom.operators.ordinals import running_totals
 
 SEPARATOR = "\n\n"
@@ -75,8 +75,7 @@ def maximal_grams(pieces: DataFrame, order: int, by: str | None = "split") -> Da
     """
     group = [by] if by else []
     k = order - 1
-    inside = pieces.select(*group, F.explode(T.ngrams(F.col("piece"), order)).alias("gram"))
-    counted = inside.groupBy(*group, "gram").agg(F.count("*").alias("n"))
+    counted = window_counts(pieces, "piece", order, group)
     if k == 0:
         return counted
     rim = pieces.select(*group, "ordinal", F.left("piece", F.lit(k)).alias("head"), F.right("piece", F.lit(k)).alias("tail"))

@@ -38,7 +38,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: Corpus
     """Normalise and judge once; both dedup stages and the report read this table."""
     clean = normalize_documents(docs, text)
     reason = T.quality_reason(F.col(text), cfg.min_chars, cfg.max_symbol_ratio, cfg.max_repeat_ratio)
-    return materialize(clean.withColumn("reason", reason), "judged")
+    return materialize(clean.withColumn("reason", reason), "judged", heavy=True)
 
 
 def prepare_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: CorpusConfig = CorpusConfig(), near: bool = True) -> PreparedCorpus:
@@ -48,7 +48,7 @@ def prepare_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg
     reached = table.select(key, "reason", F.when(F.col("reason") == "ok", 1).otherwise(0).alias("reached"))
     if not cfg.dedup:
         return PreparedCorpus(good, reached.withColumn("reached", F.col("reached") * 3))
-    unique = materialize(near_copies.exact_dedup(good, key, text), "unique")
+    unique = materialize(near_copies.exact_dedup(good, key, text), "unique", heavy=True)
     passed = unique.select(key).withColumn("second", F.lit(1))
     if near:
         kept = materialize(near_copies.near_dedup_keys(unique, key, text, cfg.near), "kept")
@@ -114,4 +114,4 @@ def retrain_decision(docs: DataFrame, ledger: DataFrame, entries: DataFrame, key
 
 def corpus_splits(survivors: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Placed units of the surviving corpus, written down because splitting reads them repeatedly."""
-    return materialize(placed_units(survivors, key, text), "units")
+    return materialize(placed_units(survivors, key, text), "units", heavy=True)

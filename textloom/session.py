@@ -31,13 +31,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def spread(table: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores enough tasks for heavy work.
+
+    A small file is often one row group, hence one task however many splits are
+    planned.  A large table has more splits than cores and is left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(2 * cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def materialize(df: DataFrame, label: str = "stage", heavy: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Unlike a cache it survives lost executors, and unlike an RDD checkpoint it
-    keeps column pruning and gives the optimizer real sizes.
+    keeps column pruning and gives the optimizer real sizes.  ``heavy`` says
+    that costly per-row work follows.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return spread(table) if heavy else table

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.ordinals import with_ordinal
-from textloom.session import materialize
+from textloom.session import materialize, spread
 
 PAIR_SCHEMA = "q string, a string"
 PREFERENCE_SCHEMA = "prompt string, chosen string, rejected string"
@@ -17,14 +17,8 @@ REQUEST_LOG_SCHEMA = (
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over the cluster when it has fewer pieces than cores.
-
-    A small file is often one row group, hence one task however many splits are
-    planned.  A large table has more splits than cores and is left alone.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """A Parquet table, with enough tasks for per-row text work."""
+    return spread(spark.read.parquet(path))
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
