@@ -164,7 +164,7 @@ def run_log(events: DataFrame) -> DataFrame:
     """Event types as runs and days as steps; the metric columns are daily aggregates."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     return events.groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("step")).agg(
-        (F.avg("value") / 10).alias("train_loss"), (F.avg(F.col("value") * (k + 50)) / 1000).alias("val_loss"),
+        F.avg(F.log1p("value")).alias("train_loss"), (F.avg(F.log1p("value") * (k + 50)) / 90).alias("val_loss"),
         F.max("value").alias("reward"), (F.countDistinct("user_id") / F.count("*")).alias("diversity"),
         F.avg((k < 50).cast("double")).alias("train_acc"), F.avg((F.col("value") < 50).cast("double")).alias("held_acc"),
     )
@@ -172,7 +172,7 @@ def run_log(events: DataFrame) -> DataFrame:
 
 RUN_LOG = """
 run_log AS MATERIALIZED (
-  SELECT event_type AS run, day(ts) AS step, avg(value) / 10 AS train_loss, avg(value * (k + 50)) / 1000 AS val_loss,
+  SELECT event_type AS run, day(ts) AS step, avg(ln(1 + value)) AS train_loss, avg(ln(1 + value) * (k + 50)) / 90 AS val_loss,
     max(value) AS reward, count(DISTINCT user_id)::DOUBLE / count(*) AS diversity,
     avg((k < 50)::INT) AS train_acc, avg((value < 50)::INT) AS held_acc
   FROM (SELECT *, (props::JSON->>'k')::BIGINT AS k FROM events) GROUP BY 1, 2)"""

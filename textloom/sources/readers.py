@@ -38,7 +38,7 @@ def read_delimited(spark: SparkSession, path: str, doc_sep: str | None = None) -
     so that one is added back per file.
     """
     if not doc_sep:
-        raw = spark.read.text(path, wholetext=True).select(F.make_valid_utf8("value").alias("text"), F.col("_metadata.file_path").alias("place"))
+        raw = spark.read.text(path, wholetext=True).select(F.make_valid_utf8("value").alias("text"), _place(F.col("_metadata.file_path"), F.lit(0), F.lit(0)).alias("place"))
     else:
         # File, offset of the split and row inside it: the order of the documents.
         raw = spark.read.option("lineSep", doc_sep).text(path).select(
@@ -52,7 +52,9 @@ def read_delimited(spark: SparkSession, path: str, doc_sep: str | None = None) -
 
 
 def _place(file: Column, offset: Column, row: Column) -> Column:
-    return F.concat_ws("|", file, F.lpad(offset.cast("string"), 20, "0"), F.lpad(row.cast("string"), 20, "0"))
+    # Readers and listings write local URIs with one or three slashes.
+    name = F.regexp_replace(file, "^file:/+", "file:/")
+    return F.concat_ws("|", name, F.lpad(offset.cast("string"), 20, "0"), F.lpad(row.cast("string"), 20, "0"))
 
 
 def _trailing_documents(spark: SparkSession, path: str, doc_sep: str) -> DataFrame:
@@ -69,11 +71,11 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def _files(spark: SparkSession, path: str) -> list[str]:
-    """File paths as the reader reports them; the driver lists names, as any scan does."""
+    """File paths below ``path``; the driver lists names, as any scan does."""
     target, fs = _hadoop(spark, path)
     found = [e.getPath() for e in fs.listStatus(target) if e.isFile()]
     kept = [p for p in found if not p.getName().startswith(("_", "."))]
-    return [p.toUri().toString().replace("file:/", "file:///", 1) if p.toUri().getScheme() == "file" else p.toUri().toString() for p in kept]
+    return [p.toUri().toString() for p in kept]
 
 
 def _ends_with(spark: SparkSession, path: str, suffix: str) -> bool:
