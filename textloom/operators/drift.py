@@ -56,7 +56,8 @@ def character_psi(buckets: DataFrame, live: DataFrame) -> DataFrame:
     floor = lambda c: F.greatest(c, F.lit(EPSILON))
     b = F.when(F.col("ch") == OTHER, F.col("share")).otherwise(floor(F.col("share")))
     o = floor(F.col("n") / total)
-    return named.unionByName(other).agg(F.coalesce(F.sum((o - b) * F.log(o / b)), F.lit(0.0)).alias("psi"))
+    shift = F.when(total > 0, (o - b) * F.log(o / b))  # NULL without traffic
+    return named.unionByName(other).agg(F.coalesce(F.sum(shift), F.lit(0.0)).alias("psi"))
 
 
 def drift_level(psi: Column) -> Column:

@@ -43,7 +43,7 @@ def definitions(docs: DataFrame, rule: DefinitionRule = SFT_RULE, key: str = "do
 
 def clean_titles(items: DataFrame, rule: DefinitionRule = SFT_RULE, key: str = "doc_id", limit: int | None = MAX_ITEMS) -> DataFrame:
     """Clean titles only, first document per title, first ``limit`` in order."""
-    good = items.where(~F.col("title").rlike(rule.bad_title))
+    good = items.where(~F.col("title").rlike("(?U)" + rule.bad_title))
     first = good.groupBy("title").agg(F.min(key).alias(key))
     kept = good.join(first, ["title", key], "left_semi").select(key, "title", "body")
     return kept.orderBy(key).limit(limit) if limit is not None else kept
