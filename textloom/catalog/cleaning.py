@@ -7,6 +7,8 @@ from textloom.catalog import fragments as X
 from textloom.functions import text as T
 from textloom.operators import cleaning as C
 from textloom.operators import detectors as Q
+from textloom.operators.ordinals import with_ordinal
+from textloom.session import materialize
 
 
 def _digest(df, key="doc_id", text="text"):
@@ -209,9 +211,8 @@ def _(spark, sf):
         F.bool_and("pass").alias("all_pass"), F.map_from_entries(F.collect_list(F.struct("name", "pct"))).alias("pct")
     )
     # One history row per source label, numbered in label order.
-    before = per_source.select(F.col("source").alias("mate"))
-    seq = per_source.join(before, F.col("mate") <= F.col("source")).groupBy("source").agg(F.count("*").alias("seq"))
-    history = per_source.join(seq, "source").select(F.col("source").alias("label"), "seq", "all_pass", "pct")
+    labels = with_ordinal(materialize(per_source, "history"), "source")
+    history = labels.select(F.col("source").alias("label"), (F.col("ordinal") + 1).alias("seq"), "all_pass", "pct")
     entry = Q.history_entry(Q.detector_report(docs), F.lit("src13"))
     return Q.upsert_history(history, entry).select(
         "label", "seq", "all_pass", F.col("pct")["url"].alias("url_pct"), F.col("pct")["too_short"].alias("too_short_pct")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import CONTROL_CHARS, HTML_TAG, LINE_SPACE_CLASS, SPACE_CLASS
-from textloom.session import spread
+from textloom.session import materialize
 
 NL = "chr(10)"
 
@@ -123,7 +123,7 @@ def exchanges(turns: DataFrame) -> DataFrame:
     pairs = ask.join(reply, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "conv_id", "prompt", "response"
     )
-    return spread(pairs)
+    return materialize(pairs, "exchanges", heavy=True)
 
 
 EXCHANGES = """

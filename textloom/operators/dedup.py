@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,10 +145,9 @@ def near_dedup_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", cf
         else:
             edges, gone = _edge_round(edges, key)
         dropped.append(gone)
-    kept = sigs.select(key)
-    for gone in dropped:
-        kept = kept.join(gone, key, "left_anti")
-    return kept
+    if not dropped:
+        return sigs.select(key)
+    return sigs.select(key).join(reduce(DataFrame.unionByName, dropped), key, "left_anti")
 
 
 def _edge_round(edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -238,6 +238,7 @@ def jaccard_pairs(sets: DataFrame, key: str = "doc_id", threshold: float = 0.5)
         .select(key, "n", F.posexplode(F.slice("common", 1, F.greatest(F.col("reach") - F.col("unique"), F.lit(0)).cast("int"))).alias("at", "entry"), "unique")
         .select(key, "n", (F.col("at") + F.col("unique") + 1).alias("place"), F.col("entry.shingle").alias("shingle"))
     )
+    ranked = materialize(ranked, "prefixes", heavy=True)  # both sides of the join read it
     left = ranked.select("shingle", F.col(key).alias("i"), F.col("n").alias("n_i"), F.col("place").alias("place_i"))
     right = ranked.select("shingle", F.col(key).alias("j"), F.col("n").alias("n_j"), F.col("place").alias("place_j"))
     bound = F.lit(threshold)

@@ -108,9 +108,11 @@ def length_summary(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ()
 def length_histogram(docs: DataFrame, text: str = "text", bins: int = 15) -> DataFrame:
     """Equal-width bins between the smallest and largest length; the last one is closed."""
     lengths = docs.select(F.length(text).cast("bigint").alias("length"))
-    lo, hi = lengths.agg(F.min("length")).scalar(), lengths.agg(F.max("length")).scalar()
-    bin_no = F.least(F.floor((F.col("length") - lo) * bins / F.greatest(hi - lo, F.lit(1))), F.lit(bins - 1))
-    return lengths.groupBy(bin_no.alias("bin")).agg(
+    limits = lengths.agg(F.struct(F.min("length").alias("lo"), F.max("length").alias("hi"))).scalar()
+    placed = lengths.withColumn("r", limits)
+    width = F.greatest(F.col("r.hi") - F.col("r.lo"), F.lit(1))
+    bin_no = F.least(F.floor((F.col("length") - F.col("r.lo")) * bins / width), F.lit(bins - 1))
+    return placed.groupBy(bin_no.alias("bin")).agg(
         F.count("*").alias("docs"), F.min("length").alias("shortest"), F.max("length").alias("longest")
     )
 
