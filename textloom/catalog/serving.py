@@ -162,6 +162,14 @@ def _(spark, sf):
     return K.bucket_counts(K.shadow_agreement(predictions(spark, sf)), "agreement", K.AGREEMENT_BORDERS)
 
 
+@query("k08_agreement_window", f"""
+WITH {X.REQUESTS}, {PREDICTIONS} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*)::BIGINT AS compared, round(avg(agreement), 6) AS agreement
+FROM agreements JOIN requests ON event_id = request_id GROUP BY 1""")
+def _(spark, sf):
+    rows = K.agreement_by_window(K.shadow_agreement(predictions(spark, sf)), _requests(spark, sf), width="1 hour")
+    return _minutes(rows).withColumn("agreement", F.round("agreement", 6))
+
+
 @query("k09_cold_start", f"""
 WITH {X.REQUESTS}, o AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY ts, event_id) AS k FROM requests),
 w AS (SELECT endpoint, {_index(50)} AS p50, {_index(95)} AS p95 FROM o WHERE k > 1 GROUP BY endpoint)

@@ -110,6 +110,12 @@ def shadow_agreement(predictions: DataFrame, live: str = "production", shadow: s
     )
 
 
+def agreement_by_window(agreements: DataFrame, requests: DataFrame, request: str = "request_id", key: str = "event_id", width: str = RATE_WINDOW) -> DataFrame:
+    """Mean agreement of the shadowed requests of each window."""
+    timed = agreements.join(requests.select(F.col(key).alias(request), "ts"), request)
+    return _flat(timed.groupBy(minute(width=width)).agg(F.count("*").alias("compared"), F.avg("agreement").alias("agreement")))
+
+
 def cold_start(requests: DataFrame, ts: str = "ts", key: str = "event_id", by: Sequence[str] = (), value: str = "latency") -> DataFrame:
     """First request against p50 and p95 of the rest, and the cold/warm ratio."""
     first = requests.groupBy(*by).agg(F.min(F.struct(ts, key)).alias("first"), F.min_by(value, F.struct(ts, key)).alias("cold"))

@@ -19,9 +19,10 @@ from textloom.session import materialize, scratch_path
 LATENESS = "10 minutes"
 
 
-def file_stream(spark: SparkSession, folder: str, table: str, schema: S.StructType) -> DataFrame:
-    """A growing folder of Parquet files as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet").parquet(folder)
+def file_stream(spark: SparkSession, folder: str, table: str, schema: S.StructType, files_per_batch: int = 1000) -> DataFrame:
+    """A growing folder of Parquet files as a stream; a backlog is read in bounded batches."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def with_event_time(stream: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
