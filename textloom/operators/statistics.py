@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
 from textloom.functions.vectorized import gzip_size_column
 from textloom.operators.ordinals import values_at
 from textloom.operators.stream import placed_units, units
