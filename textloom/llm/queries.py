@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.bpe_codec import read_ranks, round_trip
 from textloom.llm.common import read
+from textloom.llm.decontaminate import overlaps
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.quality import classify
 from textloom.llm.simhash import simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +39,16 @@ def _(spark, sf):
     return simhash_dedup(read(spark, sf, "documents"))
 
 
+@query("op3_quality")
+def _(spark, sf):
+    return classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query("op4_decontaminate")
+def _(spark, sf):
+    return overlaps(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 @query("op6_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
