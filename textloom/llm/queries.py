@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.bpe_codec import read_ranks, round_trip
+from textloom.llm import licenses
+from textloom.llm import secret_scan
 from textloom.llm.common import read
 from textloom.llm.decontaminate import overlaps
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.language import identify
 from textloom.llm.quality import classify
 from textloom.llm.simhash import simhash_dedup
 
@@ -39,6 +42,11 @@ def _(spark, sf):
     return simhash_dedup(read(spark, sf, "documents"))
 
 
+@query("op2_licenses", licenses.oracle_sql())
+def _(spark, sf):
+    return licenses.recognise(read(spark, sf, "documents"))
+
+
 @query("op3_quality")
 def _(spark, sf):
     return classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
@@ -49,6 +57,11 @@ def _(spark, sf):
     return overlaps(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+@query("op5_secrets", secret_scan.oracle_sql())
+def _(spark, sf):
+    return secret_scan.secrets(read(spark, sf, "documents"))
+
+
 @query("op6_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -57,6 +70,11 @@ def _(spark, sf):
     return exact_dedup(read(spark, sf, "documents"))
 
 
+@query("op7_language")
+def _(spark, sf):
+    return identify(read(spark, sf, "documents"))
+
+
 @query("op8_byte_bpe")
 def _(spark, sf):
     return round_trip(read(spark, sf, "documents"), *byte_bpe())
