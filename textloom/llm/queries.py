@@ -13,6 +13,7 @@ from textloom.llm.common import read
 from textloom.llm.decontaminate import overlaps
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.language import identify
+from textloom.llm.pages import extract
 from textloom.llm.quality import classify
 from textloom.llm.simhash import simhash_dedup
 
@@ -78,3 +79,8 @@ def _(spark, sf):
 @query("op8_byte_bpe")
 def _(spark, sf):
     return round_trip(read(spark, sf, "documents"), *byte_bpe())
+
+
+@query("op10_html_text")
+def _(spark, sf):
+    return extract(read(spark, sf, "pages"))
