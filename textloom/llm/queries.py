@@ -14,6 +14,7 @@ from textloom.llm.decontaminate import overlaps
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.language import identify
 from textloom.llm.pages import extract
+from textloom.llm.passages import repeated_passages
 from textloom.llm.quality import classify
 from textloom.llm.simhash import simhash_dedup
 
@@ -81,6 +82,11 @@ def _(spark, sf):
     return round_trip(read(spark, sf, "documents"), *byte_bpe())
 
 
+@query("op9_repeated_passages")
+def _(spark, sf):
+    return repeated_passages(read(spark, sf, "documents"))
+
+
 @query("op10_html_text")
 def _(spark, sf):
     return extract(read(spark, sf, "pages"))
