@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.session import materialize
@@ -57,3 +57,20 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
 def held_out(key: Column) -> Column:
     """Rows kept for testing: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
+
+
+def hash_sample(rows: DataFrame, group: str, most: int) -> tuple[DataFrame, dict]:
+    """At most ``most`` rows of each group, those whose doc_id hashes lowest, and the groups' sizes.
+
+    Which rows are picked depends on the ids alone.  A cut at a hash that about
+    ``1.25 * most`` rows pass comes first, so that few rows shuffle however
+    large a group is; only a group of less than about 1.25 times its expected
+    share of low hashes could come out smaller.
+    """
+    sizes = {r[0]: r["n"] for r in rows.groupBy(group).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return rows, sizes
+    size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col(group)]
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) * size < (1 << 31) * F.lit(1.25 * most + 50)
+    order = Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return rows.where(low).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank"), sizes

@@ -16,10 +16,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import held_out, per_batch, stored
+from textloom.llm.common import hash_sample, held_out, per_batch, stored
 from textloom.llm.vectors import dense, document_frequencies, hashed, inverse, unit, weigh
 
 DIMS = 8192
@@ -66,10 +66,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS) ->
     n_rows, seen = document_frequencies(docs.select("doc_id", "text"), letter_terms, DIMS)
     idf = inverse(n_rows, seen)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Spark limits the rank inside each task before anything shuffles; texts follow for the picked rows alone
-    ids = usable.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language)
-    picked = stored(ids.select("doc_id", "lang"), "sample").distinct()
+    ids, sizes = hash_sample(usable.select("doc_id", "lang"), "lang", per_language)
+    picked = stored(ids, "sample").distinct()
     sample = usable.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text")
 
     def vectors(batch: pa.RecordBatch) -> dict:
@@ -87,7 +85,6 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS) ->
 
     sparse = per_batch(sample, vectors, "lang string, terms array<int>, weights array<float>")
     got = sparse.groupBy("lang").applyInPandas(centroids, "lang string, rows bigint, reach double, centre array<float>").toPandas()
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     got["size"] = got["lang"].map(sizes)
     got = got.sort_values(["size", "lang"], ascending=[False, True], kind="stable")
     centres = np.array(got["centre"].tolist(), dtype=np.float32).reshape(len(got), DIMS)

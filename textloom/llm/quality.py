@@ -18,10 +18,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import held_out, per_batch, stored, texts
+from textloom.llm.common import hash_sample, held_out, per_batch, stored, texts
 from textloom.llm.vectors import counted, dense, document_frequencies, hashed, inverse, unit, weigh
 
 DIMS = 4096
@@ -81,10 +81,7 @@ def learning_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     marks = marks.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = docs.select("doc_id").distinct()
     marks = stored(marks.join(ids, "doc_id", "left_semi"), "marks")
-    sizes = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Spark limits the rank inside each task before anything shuffles
-    picked = marks.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).select("doc_id", "label")
+    picked, sizes = hash_sample(marks, "label", per_class)
     return docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), sizes
 
 
