@@ -63,7 +63,7 @@ def majority(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, dtype=np.int64)
     for start in range(0, hashes.size, _ROWS):
         part = hashes[start : start + _ROWS].astype("<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int(np.packbits(2 * counts > hashes.size, bitorder="little").view("<u8")[0])
 
 
@@ -172,6 +172,13 @@ def search(levels: list[dict[str, np.ndarray]], codes: np.ndarray, queries: np.n
     return queries[keep], nodes[keep]
 
 
+def root_nodes(levels: list[dict[str, np.ndarray]], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Root node of each place, and the running sum of pairs that searching the places may meet."""
+    roots = levels[0]["group"]
+    sizes = np.diff(np.r_[np.searchsorted(group, roots), group.size])
+    return np.repeat(np.arange(roots.size), sizes), np.cumsum(np.repeat(sizes, sizes))
+
+
 def forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest place reachable from every place over the links a-b."""
     root = np.arange(size)
@@ -189,19 +196,17 @@ def linked(codes: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndar
     order = np.lexsort((gray_rank(codes), group))
     codes, group = codes[order], group[order]
     levels = build_index(codes, group)
-    roots = levels[0]["group"]
-    sizes = np.diff(np.r_[np.searchsorted(group, roots), group.size])
-    root_of = np.repeat(np.arange(roots.size), sizes)
+    root_of, weight = root_nodes(levels, group)
     label = np.arange(codes.size)
-    weight = np.cumsum(np.repeat(sizes, sizes))  # search so many places at once that fronts stay small
-    for start, end in _cuts(weight, _FRONT):
+    for start, end in cuts(weight, _FRONT):
         a, b = search(levels, codes, np.arange(start, end), root_of[start:end], distance)
         label = forest(codes.size, np.r_[np.arange(codes.size), a], np.r_[label, b])
     own = np.flatnonzero(label != np.arange(codes.size))
     return codes[label[own]], codes[own]
 
 
-def _cuts(weight: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def cuts(weight: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of places to search at once, so that fronts stay small."""
     start, base = 0, 0
     while start < weight.size:
         end = max(start + 1, int(np.searchsorted(weight, base + most, side="right")))
