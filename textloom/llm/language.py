@@ -27,6 +27,7 @@ WIDEST = 4
 PER_LANGUAGE = 400
 CLUSTERS = 3
 REACH = 1.1
+SLACK = 1e-3  # a sample of equal texts has no extent
 UNKNOWN = "und"
 _BLOCK = 256
 _PART = 1 << 20
@@ -118,7 +119,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTER
         lettered = np.array(batch.column("lettered").to_pylist(), dtype=bool)
         return {
             "doc_id": batch.column("doc_id"), "lang_pred": [m["lang"][b] if ok else UNKNOWN for b, ok in zip(best, lettered)],
-            "score": np.where(lettered, top, 0.0), "rejected": ~lettered | (1 - top > REACH * m["reach"][best]),
+            "score": np.where(lettered, top, 0.0), "rejected": ~lettered | (1 - top > REACH * m["reach"][best] + SLACK),
         }
 
     rows = own.select("doc_id", "text", F.col("text").rlike(r"\p{L}").alias("lettered"))

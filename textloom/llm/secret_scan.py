@@ -9,7 +9,9 @@ paths carry it, and again only for a rule that changed.
 
 The texts of unseen blobs are met by a join on (doc_id, blob).  Where few are
 unseen their keys are broadcast (at most ``BROADCAST_ROWS``, counted first) and
-no text moves; otherwise each text shuffles once, without a sort.
+no text moves; otherwise texts shuffle once, without a sort.  A first run has
+nothing to skip but copies: there the patterns are tried before the join, and
+only texts with a match shuffle.
 """
 
 from __future__ import annotations
@@ -77,9 +79,14 @@ def _matches(rule: Rule) -> Column:
     return F.when(wanted, found).otherwise(F.array().cast("array<struct<rule:string,nth:int,gap:int,size:int,counts:boolean>>"))
 
 
-def scan(unseen: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(blob, rule, start, end) for rows (blob, text, rules): code points, end exclusive."""
-    hit = reduce(Column.__or__, [F.col("text").rlike(r.pattern) for r in rules])
+def scan(unseen: DataFrame, rules: Sequence[Rule], only_wanted: bool) -> DataFrame:
+    """(blob, rule, start, end) for rows (blob, text, rules): code points, end exclusive.
+
+    ``only_wanted`` ties each pattern to the rules that a blob still needs, so
+    that no text is searched before the ledger has been asked.
+    """
+    tests = [F.array_contains("rules", r.key) & F.col("text").rlike(r.pattern) if only_wanted else F.col("text").rlike(r.pattern) for r in rules]
+    hit = reduce(Column.__or__, tests)
     matches = unseen.where(hit).select("blob", F.explode(F.concat(*[_matches(r) for r in rules])).alias("m"))
     place = Window.partitionBy("blob", "m.rule").orderBy("m.nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = matches.select("blob", "m.*", F.sum(F.col("m.gap") + F.col("m.size")).over(place).alias("end"))
@@ -110,7 +117,7 @@ def extend(docs: DataFrame, ledger: Ledger | None = None, rules: Sequence[Rule]
     few = open_blobs.count() <= BROADCAST_ROWS
     keys = F.broadcast(open_blobs.withColumnRenamed("blob", "own")) if few else open_blobs.withColumnRenamed("blob", "own").hint("shuffle_hash")
     unseen = named.join(keys, named["doc_id"].eqNullSafe(keys["at"]) & (named["blob"] == keys["own"])).select("blob", "text", "rules")
-    new = stored(scan(unseen, rules).distinct(), "findings")
+    new = stored(scan(unseen, rules, ledger is not None).distinct(), "findings")
     fresh = open_blobs.select("blob", F.explode("rules").alias("rule"))
     return paths, (scanned.unionByName(fresh), findings.unionByName(new))
 
