@@ -139,8 +139,8 @@ def test_page_structure():
       <article><header><h1>Title &amp; more</h1></header><p>One<br>two   <b>three</b></p><p>four <i>five</i>
       <div class="cookie-notice"><div>notice</div> still</div><section id="comments"><article>reader</article></section>
       <form>ask</form><p data-x="a>b">six &lt;7&gt;</article><aside>side</aside><footer>&copy;</footer>"""
-    assert pages.main_text(pages.page_lines(page), None) == "Title & more\nOne two three\nfour five\nsix <7>"
-    assert pages.main_text(pages.page_lines("<nav>menu<p>never closed<article><p>text</article>"), None) == "text"
+    assert pages.main_text(page) == "Title & more\nOne two three\nfour five\nsix <7>"
+    assert pages.main_text("<nav>menu<p>never closed<article><p>text</article>") == "text"
 
 
 def lcs_size(a, b):
