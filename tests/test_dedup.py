@@ -51,8 +51,8 @@ def test_near_dedup_equals_sequential_scan(spark, front):
 
 
 def test_near_dedup_drops_one_edit(spark):
-    long = "Self-attention lets every token look at every other token and decide how much to focus on each one. " * 3
-    texts = [long, long.replace("focus on", "weigh up", 1), "An unrelated sentence about rivers, mountains and the weather in spring."]
+    ledger = "\n".join(f"Row {n}: the harbour office booked {n * 37 % 101} crates of dried plums on pier {n % 7}." for n in range(12))
+    texts = [ledger, ledger.replace("dried plums", "salted fish", 1), "Sixteen grey geese crossed the frozen reservoir before the ferry left."]
     assert keys(D.near_dedup(table(spark, texts))) == [0, 2]
 
 
@@ -92,7 +92,7 @@ def test_banded_join_is_a_subset_and_finds_known_copies(spark):
     exact = D.jaccard_pairs(sets)
     found = D.lsh_jaccard_pairs(docs)
     candidates = D.wide_candidates(docs, sets)
-    report = D.dedup_accuracy(F.lit(len(texts)), candidates, exact, found, spark.createDataFrame(known, "i bigint, j bigint")).first()
+    report = D.dedup_accuracy(sets, candidates, exact, found, spark.createDataFrame(known, "i bigint, j bigint")).first()
     assert found.select("i", "j").exceptAll(exact.select("i", "j")).isEmpty()
     assert report["candidates"] < report["all_pairs"] == 60 * 59 // 2
     assert report["known_found"] >= 8 and report["recall"] <= 1.0

@@ -101,4 +101,5 @@ def test_merged_text_is_in_order(spark, tmp_path, golden):
     W.write_merged_text(golden.where("doc_id between 3 and 6"), path)
     parts = sorted(p for p in os.listdir(path) if p.startswith("part"))
     body = "".join(open(f"{path}/{p}", encoding="utf-8").read() for p in parts)
-    assert body == "".join(s + "\n\n" for s in SENTENCES[1:])
+    assert body == "\n\n".join(SENTENCES[1:]) + "\n"
+    assert [r["text"] for r in R.read_lines(spark, path).orderBy("ordinal").collect()] == body.split("\n")[:-1]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import table
 from textloom.operators import drift as D
 from textloom.operators import telemetry as K
-from textloom.operators.governance import model_cards
+from textloom.operators.governance import ENTRY_SCHEMA, model_cards, register
 from textloom.operators.statistics import char_counts
 from textloom.sources.writers import write_cards
 from textloom.streaming import serving as STREAM
@@ -45,9 +45,37 @@ def test_live_drift_is_cumulative(spark, tmp_path):
 
 def test_cards_are_written_per_model(spark, tmp_path):
     ledger = spark.createDataFrame(
-        [("sha256:ab", "ab", "production", "t", (None, 3.5, 33.1), ("sha256:d", 8, 90, 1000, "char", True, "c1"))],
-        "model_digest string, short string, status string, created_at string, metrics struct<val_loss:double,test_loss:double,perplexity:double>, "
-        "lineage struct<data_digest:string,corpus_docs:bigint,vocab_size:bigint,train_tokens:bigint,tokenizer:string,data_quality_gate:boolean,code_commit:string>")
+        [("sha256:ab", "ab", "production", "t", (64, 2, 4, 32, 0.1, True, 90, True, False, True, None, False), 1.5, (None, 3.5, 33.1), ("sha256:d", 8, 90, 1000, "char", True, "c1"))],
+        ENTRY_SCHEMA)
     write_cards(model_cards(ledger), str(tmp_path / "cards"))
     body = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "cards" / "short=ab")).collect())
     assert "| Status | **production** |" in body and "test_loss=3.5" in body and "gate: passed" in body
+    assert "n_layer=2, n_head=4, n_kv_head=None" in body and "| Parameters | 1.5 M |" in body and "## Limits" in body
+
+
+def test_first_entry_of_a_digest_wins(spark):
+    row = lambda digest, created, loss: (digest, digest[-2:], "registered", created, None, 1.0, (None, loss, None), None)
+    ledger = spark.createDataFrame([row("sha256:aa", "t5", 1.0)], ENTRY_SCHEMA)
+    entries = spark.createDataFrame([row("sha256:bb", "t9", 3.0), row("sha256:bb", "t2", 2.0), row("sha256:aa", "t1", 9.0)], ENTRY_SCHEMA)
+    got = {r["model_digest"]: r["metrics"]["test_loss"] for r in register(ledger, entries).collect()}
+    assert got == {"sha256:aa": 1.0, "sha256:bb": 2.0}
+
+
+def test_restarted_streams_resume(spark, tmp_path):
+    rows = [(part, START + dt.timedelta(seconds=60 * (i % 2) + part), "chat", 0.1 * i + part) for part in range(2) for i in range(6)]
+    df = spark.createDataFrame(rows, "part int, ts timestamp, endpoint string, latency double")
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def run(job, name):
+        stream = STREAM.file_stream(spark, str(source), "requests", df.drop("part").schema, 1)
+        timed = STREAM.with_event_time(stream, lateness=None)
+        return STREAM.windowed(timed, job, ["window_start", "endpoint"], folder=str(tmp_path / name))
+
+    histogram = lambda s: K.windowed_histogram(s, ["endpoint"])
+    for part in range(2):  # the second run is a restart: it must neither forget nor count twice
+        df.where(F.col("part") == part).drop("part").toPandas().to_parquet(f"{source}/requests-{part}.parquet", coerce_timestamps="us")
+        assert [r["requests"] for r in run(K.request_rate, "rate").collect()] == [3 * (part + 1)] * 2
+        live = K.windowed_quantile(run(histogram, "quantile"), 0.95, ["endpoint"])
+        whole = K.windowed_quantile(histogram(df.where(F.col("part") <= part)), 0.95, ["endpoint"])
+        assert sorted(map(str, live.collect())) == sorted(map(str, whole.collect()))

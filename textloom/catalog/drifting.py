@@ -12,7 +12,7 @@ from textloom.session import materialize
 LENGTH_EDGES = [0.0, 250.0, 500.0, 1000.0, 2000.0, 4000.0, 8000.0, 16000.0, 1e9]
 
 _BASE = f"""
-sampled AS (SELECT left(string_agg(text, {X.NL} || {X.NL} ORDER BY doc_id), {D.BASELINE_CHARS}) AS body FROM documents),
+sampled AS (SELECT string_agg(text, {X.NL} || {X.NL} ORDER BY doc_id) AS body FROM documents),
 base AS MATERIALIZED (SELECT ch, count(*) AS n, min(pos) AS first_at FROM (
   SELECT unnest(string_split(body, '')) AS ch, generate_subscripts(string_split(body, ''), 1) AS pos FROM sampled) GROUP BY ch),
 best AS MATERIALIZED (SELECT ch, n::DOUBLE / (SELECT sum(n) FROM base) AS share FROM base ORDER BY n DESC, first_at LIMIT {D.TOP_BUCKETS}),
@@ -67,6 +67,7 @@ def _(spark, sf):
     return D.numeric_psi(rows, "length", LENGTH_EDGES, "lang", "en", "fr").withColumn("psi", F.round("psi", 6))
 
 
+PSI_SQL = f"WITH {_BASE}, {_sql_live('conversations', 'text')}, {_PSI} SELECT psi FROM psi"
 REPORT_SQL = f"""
 WITH {_BASE}, {_sql_live('conversations', 'text')}, {_PSI}
 SELECT (SELECT count(*) FROM conversations)::BIGINT AS requests, (SELECT sum(n) FROM live)::BIGINT AS chars_seen, round({_OOV}, 4) AS oov_rate,

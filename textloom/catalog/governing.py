@@ -12,7 +12,8 @@ from textloom.session import materialize
 
 # One model per document source: losses and corpus facts are aggregates of its
 # documents, the data gate is the detector gate of that source.
-_COLUMNS = ("model_digest", "short", "status", "created_at", "params_M", "metrics", "lineage")
+_CONFIG = """named_struct('block_size', 128, 'n_layer', cast(2 + first_doc % 5 AS int), 'n_head', 4, 'n_embd', cast(64 * (1 + first_doc % 3) AS int), 'dropout', 0.1D,
+  'bias', first_doc % 2 = 0, 'vocab_size', 512, 'use_rmsnorm', true, 'use_swiglu', first_doc % 3 = 0, 'use_rope', true, 'n_kv_head', cast(NULL AS int), 'use_flash', false)"""
 
 
 def _entries(spark, sf):
@@ -21,7 +22,7 @@ def _entries(spark, sf):
     models = per.agg(F.sha2(F.concat(F.col("run"), F.lit(":"), F.sum(F.length("text")).cast("string")), 256).alias("digest"),
                      F.min("doc_id").alias("first_doc")).select(
         "run", "digest", F.concat(F.lit("2026-06-21T00:00:"), F.lpad(F.col("first_doc").cast("string"), 6, "0")).alias("created_at"),
-        F.lit(7.954).alias("params_M"), F.concat(F.lit("c"), F.col("first_doc").cast("string")).alias("code_commit"),
+        F.expr(_CONFIG).alias("config"), (F.col("first_doc") % 7 + 0.5).alias("params_M"), F.concat(F.lit("c"), F.col("first_doc").cast("string")).alias("code_commit"),
     )
     evaluations = per.agg(F.round(F.avg(F.log(F.length("text") + 1)), 4).alias("test_loss")).where("run <> 'src9'").select(
         "run", F.lit(None).cast("double").alias("val_loss"), "test_loss", F.round(F.exp("test_loss"), 2).alias("perplexity"))
@@ -44,10 +45,11 @@ _ENTRIES = f"""{_HITS}, {_sql_report('source')},
 gates AS (SELECT source, bool_and(pass) AS all_pass FROM report GROUP BY source),
 facts AS (SELECT source, sha256(source || ':' || sum(length(text))) AS digest, '2026-06-21T00:00:' || right('000000' || min(doc_id), 6) AS created_at,
   'c' || min(doc_id) AS code_commit, CASE WHEN source <> 'src9' THEN round(avg(ln(length(text) + 1)), 4) END AS test_loss,
-  count(*) AS corpus_docs, count(DISTINCT lang) AS vocab_size, sum(length(text)) AS train_tokens, sha256(min(text)) AS data_sha FROM messy GROUP BY source),
+  min(doc_id) AS first_doc, count(*) AS corpus_docs, count(DISTINCT lang) AS vocab_size, sum(length(text)) AS train_tokens, sha256(min(text)) AS data_sha FROM messy GROUP BY source),
 entries AS MATERIALIZED (SELECT 'sha256:' || digest AS model_digest, left(digest, 12) AS short, created_at, test_loss, round(exp(test_loss), 2) AS perplexity,
   'sha256:' || left(data_sha, 16) AS data_digest, corpus_docs::BIGINT AS corpus_docs, vocab_size::BIGINT AS vocab_size, train_tokens::BIGINT AS train_tokens,
-  all_pass AS data_quality_gate, code_commit FROM facts JOIN gates USING (source))"""
+  all_pass AS data_quality_gate, code_commit, (first_doc % 7 + 0.5)::DOUBLE AS "params_M", (2 + first_doc % 5)::INT AS n_layer, (64 * (1 + first_doc % 3))::INT AS n_embd,
+  first_doc % 2 = 0 AS bias, first_doc % 3 = 0 AS use_swiglu FROM facts JOIN gates USING (source))"""
 _LEDGER = f"""{_ENTRIES},
 ledger AS MATERIALIZED (SELECT *, CASE WHEN model_digest = (SELECT max(model_digest) FROM entries) THEN 'production' ELSE 'registered' END AS status FROM entries)"""
 _GATED = f"""{_LEDGER},
@@ -58,11 +60,15 @@ gated AS MATERIALIZED (SELECT *, CASE WHEN model_digest <> pd THEN pl END AS pro
   FROM ledger, prod)"""
 
 
+GATE_SQL = f"WITH {_GATED} SELECT short, reasons FROM gated"
+
+
 @query("j01_registry_entries", f"WITH {_ENTRIES} SELECT *, 'registered' AS status FROM entries")
 def _(spark, sf):
     return _entries(spark, sf).select(
         "model_digest", "short", "status", "created_at", "metrics.test_loss", "metrics.perplexity", "lineage.data_digest", "lineage.corpus_docs",
-        "lineage.vocab_size", "lineage.train_tokens", "lineage.data_quality_gate", "lineage.code_commit",
+        "lineage.vocab_size", "lineage.train_tokens", "lineage.data_quality_gate", "lineage.code_commit", "params_M",
+        "config.n_layer", "config.n_embd", "config.bias", "config.use_swiglu",
     )
 
 
@@ -125,12 +131,23 @@ def _(spark, sf):
     return J.strict_gate(candidates, current).select("event_type", "verdict", F.coalesce("short", F.lit("none")).alias("short"))
 
 
-@query("j07_model_cards", f"""
-WITH {_LEDGER} SELECT short, count(*)::BIGINT AS cards, max(status) AS status FROM ledger GROUP BY short""")
+_CARD = " || chr(10) || ".join([
+    "'# Model Card - `' || short || '`'", "''", "'| Field | Value |'", "'|---|---|'", "'| Digest | `' || model_digest || '` |'",
+    "'| Status | **' || status || '** |'", "'| Created | ' || created_at || ' |'", "'| Parameters | ' || \"params_M\" || ' M |'",
+    "'| Commit | `' || code_commit || '` |'", "''", "'## Architecture'",
+    "'- n_layer=' || n_layer || ', n_head=4, n_kv_head=None, n_embd=' || n_embd || ', block_size=128, vocab_size=512, dropout=0.1, bias=' || bias",
+    "'- use_rmsnorm=true, use_swiglu=' || use_swiglu || ', use_rope=true, use_flash=false'", "''", "'## Metrics'",
+    "'- val_loss=None, test_loss=' || coalesce(test_loss::VARCHAR, 'None') || ', perplexity=' || coalesce(perplexity::VARCHAR, 'None')",
+    "''", "'## Lineage'", "'- data digest: `' || data_digest || '`'",
+    "'- documents: ' || corpus_docs || ', vocabulary: ' || vocab_size || ', train tokens: ' || train_tokens", "'- tokenizer: char'",
+    "'- data quality gate: ' || CASE WHEN data_quality_gate THEN 'passed' ELSE 'failed or unknown' END", "''", "'## Limits'",
+    *[f"'- {t}'" for t in J.CARD_LIMITS],
+])
+
+
+@query("j07_model_cards", f"WITH {_LEDGER} SELECT short, {_CARD} AS card FROM ledger")
 def _(spark, sf):
-    cards = J.model_cards(_ledger(spark, sf))
-    status = F.regexp_extract("card", r"\| Status \| \*\*([a-z]+)\*\* \|", 1)
-    return cards.groupBy("short").agg(F.count("*").alias("cards"), F.max(status).alias("status"))
+    return J.model_cards(_ledger(spark, sf))
 
 
 @query("j08_ledger_listing", f"""

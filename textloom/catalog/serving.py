@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from textloom.catalog import load, query
 from textloom.catalog import fragments as X
-from textloom.catalog.drifting import REPORT_SQL, _baseline
+from textloom.catalog.drifting import PSI_SQL, REPORT_SQL, _baseline
+from textloom.catalog.governing import GATE_SQL, _ledger
 from textloom.operators import drift as D
 from textloom.operators import telemetry as K
+from textloom.operators.statistics import char_counts
 from textloom.session import materialize
 from textloom.streaming import serving as STREAM
 
@@ -107,10 +109,16 @@ def _(spark, sf):
     return K.latency_percentiles(_requests(spark, sf), ["variant"]).select("variant", F.round("p95", 6).alias("p95"))
 
 
-@query("k06_variant_latency_stream")
+@query("k06_variant_latency_stream", f"""
+WITH {X.REQUESTS}, w AS (SELECT {_WINDOW}, variant, latency FROM requests),
+b AS (SELECT window_start, variant, le, count(*) FILTER (latency <= le) AS c FROM w, (SELECT unnest([{', '.join(map(str, K.LATENCY_BORDERS))}, 'inf'::DOUBLE]) AS le) GROUP BY ALL),
+p AS (SELECT *, coalesce(lag(le) OVER o, 0.0) AS lower, coalesce(lag(c) OVER o, 0) AS below, max(c) OVER (PARTITION BY window_start, variant) * 0.95 AS target
+  FROM b WINDOW o AS (PARTITION BY window_start, variant ORDER BY le)),
+h AS (SELECT *, CASE WHEN isinf(le) THEN lower ELSE lower + (le - lower) * (target - below) / (c - below) END AS q FROM p WHERE c >= target AND target > 0)
+SELECT window_start, variant, round(min_by(q, le), 6) AS p95 FROM h GROUP BY ALL""")
 def _(spark, sf):
-    sketch = K.latency_sketch(_stream(spark, sf), ["variant"])
-    return STREAM.latest(STREAM.run_updates(sketch), ["variant"])
+    histograms = STREAM.windowed(_stream(spark, sf), K.windowed_histogram, ["window_start", "variant"])
+    return _minutes(K.windowed_quantile(histograms, 0.95)).select("window_start", "variant", F.round("quantile", 6).alias("p95"))
 
 
 @query("k07_average_batch", f"""
@@ -196,21 +204,20 @@ def _(spark, sf):
 
 @query("k12_rollout_decision", f"""
 WITH {X.REQUESTS}, {PREDICTIONS}, v AS (SELECT variant, {_index(95)} AS p95 FROM requests GROUP BY variant),
-x AS (SELECT lang AS run, avg(quality) AS loss FROM documents JOIN labels USING (doc_id) GROUP BY lang),
-a AS (SELECT avg(agreement) AS agreement FROM agreements)
-SELECT run, CASE WHEN loss <= (SELECT loss FROM x WHERE run = 'en') + 0.05 THEN 'release' ELSE 'hold' END AS decision,
+g AS ({GATE_SQL}), d AS ({PSI_SQL}), a AS (SELECT avg(agreement) AS agreement FROM agreements)
+SELECT short, CASE WHEN reasons = '' THEN 'release' ELSE 'hold' END AS decision, reasons,
   concat_ws('; ', CASE WHEN agreement < 0.9 THEN 'behaviour changed, review outputs' END,
-    CASE WHEN (SELECT p95 FROM v WHERE variant = 'canary') > (SELECT p95 FROM v WHERE variant = 'production') THEN 'canary slower' END) AS advice FROM x, a""")
+    CASE WHEN (SELECT p95 FROM v WHERE variant = 'canary') > (SELECT p95 FROM v WHERE variant = 'production') THEN 'canary slower' END,
+    CASE WHEN (SELECT psi FROM d) >= 0.25 THEN 'input drift' END) AS advice FROM g, a""")
 def _(spark, sf):
-    from textloom.operators.governance import gate_reasons
+    from textloom.operators.governance import with_gate
 
-    losses = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id").groupBy(F.col("lang").alias("run")).agg(F.avg("quality").alias("loss"))
-    serving = losses.where(F.col("run") == "en").select("loss").scalar()
-    p95 = K.latency_percentiles(_requests(spark, sf), ["variant"])
+    p95 = materialize(K.latency_percentiles(_requests(spark, sf), ["variant"]), "p95")
     agreement = K.shadow_agreement(predictions(spark, sf)).agg(F.avg("agreement")).scalar()
-    candidates = losses.select(
-        "run", gate_reasons(F.lit(True), F.col("loss"), serving).alias("reasons"), agreement.alias("agreement"),
-        p95.where(F.col("variant") == "canary").select("p95").scalar().alias("canary_p95"),
-        p95.where(F.col("variant") == "production").select("p95").scalar().alias("production_p95"), F.lit(0.0).alias("psi"),
+    base = _baseline(spark, sf)
+    psi = D.character_psi(D.baseline_buckets(base), char_counts(load(spark, sf, "conversations"))).scalar()
+    candidates = with_gate(_ledger(spark, sf)).select(
+        "short", "reasons", agreement.alias("agreement"), p95.where(F.col("variant") == "canary").select("p95").scalar().alias("canary_p95"),
+        p95.where(F.col("variant") == "production").select("p95").scalar().alias("production_p95"), psi.alias("psi"),
     )
-    return K.rollout_decision(candidates).select("run", "decision", F.concat_ws("; ", "advice").alias("advice"))
+    return K.rollout_decision(candidates).select("short", "decision", F.concat_ws("; ", "reasons").alias("reasons"), F.concat_ws("; ", "advice").alias("advice"))

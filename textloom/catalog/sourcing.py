@@ -68,8 +68,7 @@ WITH {X.RUN_LOG} SELECT run, step::BIGINT AS step, round(train_loss, 6) AS train
 def _(spark, sf):
     path = scratch_path(spark, "runs")
     W.write_run_log(X.run_log(load(spark, sf, "events")).select("run", "step", "train_loss", "val_loss"), path)
-    # Each run is a folder of part files here, so the name comes from the folder.
-    log = spark.read.schema("step int, train_loss double, val_loss double, run string").option("header", "true").csv(path)
+    log = R.read_run_logs(spark, path)
     return log.select("run", F.col("step").cast("bigint").alias("step"), F.round("train_loss", 6).alias("train_loss"), F.round("val_loss", 6).alias("val_loss"))
 
 
@@ -92,9 +91,15 @@ def _(spark, sf):
     )
 
 
-@query("a08_artifact_digest")
+@query("a08_artifact_digest", """
+SELECT doc_id // 25 AS part, sum(octet_length(encode(text)) + 1)::BIGINT AS n_bytes, sha256(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS digest
+FROM documents GROUP BY 1""")
 def _(spark, sf):
-    return R.file_digests(spark, sf, "*.parquet").drop("n_bytes")
+    path = scratch_path(spark, "artifacts")
+    part = F.floor(F.col("doc_id") / 25).alias("part")  # files of 25 documents
+    rows = _documents(spark, sf).select(part, "doc_id", "text").repartition("part").sortWithinPartitions("part", "doc_id")
+    rows.select("part", "text").write.partitionBy("part").text(path)
+    return R.file_digests(spark, path).select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("bigint").alias("part"), "n_bytes", "digest")
 
 
 @query("a09_request_log", f"""
@@ -114,9 +119,10 @@ def _(spark, sf):
     return latest(run_updates(totals), ["variant"]).withColumn("latency_ms", F.round("latency_ms", 3))
 
 
-@query("a10_merged_text", "SELECT sha1(text) AS sha, length(text)::BIGINT AS n_chars, count(*)::BIGINT AS copies FROM documents GROUP BY 1, 2")
+@query("a10_merged_text", """
+WITH m AS (SELECT string_split(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), chr(10)) AS parts FROM documents)
+SELECT i::BIGINT AS line, sha1(parts[i + 1]) AS sha FROM m, (SELECT unnest(range(0, len(parts))) AS i FROM m)""")
 def _(spark, sf):
     path = scratch_path(spark, "merged")
     W.write_merged_text(_documents(spark, sf), path)
-    back = spark.read.option("lineSep", "\n\n").text(path)
-    return back.groupBy(F.sha1("value").alias("sha"), F.length("value").cast("bigint").alias("n_chars")).agg(F.count("*").alias("copies"))
+    return R.read_lines(spark, path).select(F.col("ordinal").alias("line"), F.sha1("text").alias("sha"))

@@ -14,7 +14,8 @@ from textloom.session import materialize, scratch_path
 
 _VOCAB = f"{X.STREAM}, vocab AS (SELECT row_number() OVER (ORDER BY ch) - 1 AS token_id, ch AS token FROM (SELECT DISTINCT ch FROM chars))"
 BLOCK = 64
-MERGES = 24
+MERGES = 500  # fixed value: the size of the vocabulary that is trained by default
+CHECKED = 10   # merges that SQL follows one by one
 _models: dict = {}
 
 
@@ -93,6 +94,41 @@ def _(spark, sf):
     )
 
 
+def _sql_merges(n: int) -> str:
+    """CTEs b0..bn and p1..pn: the stream after each merge, a merged token written as one private-use character."""
+    parts = [f"b0 AS MATERIALIZED (SELECT string_agg(text, {X.NL} || {X.NL} ORDER BY doc_id) AS body FROM documents)"]
+    for i in range(1, n + 1):
+        parts.append(f"""p{i} AS MATERIALIZED (SELECT l, r, count(*) AS freq, min(pos) AS at FROM (
+  SELECT c AS l, lead(c) OVER (ORDER BY pos) AS r, pos FROM (SELECT unnest(string_split(body, '')) AS c, generate_subscripts(string_split(body, ''), 1) AS pos FROM b{i - 1}))
+  WHERE r IS NOT NULL GROUP BY l, r ORDER BY freq DESC, at LIMIT 1),
+b{i} AS MATERIALIZED (SELECT replace(body, l || r, chr({0xE000 + i})) AS body FROM b{i - 1}, p{i})""")
+    return ",\n".join(parts)
+
+
+def _sql_spelled(column: str, n: int) -> str:
+    """A string with the private-use characters of the first n merges written out."""
+    for i in range(n, 0, -1):
+        column = f"replace({column}, chr({0xE000 + i}), (SELECT l || r FROM p{i}))"
+    return column
+
+
+@query("f05_first_merges", f"""
+WITH {_sql_merges(CHECKED)}
+{" UNION ALL ".join(f"SELECT {i}::BIGINT AS step, {_sql_spelled('l', i - 1)} AS left, {_sql_spelled('r', i - 1)} AS right, freq::BIGINT AS freq, (SELECT length(body) FROM b{i})::BIGINT AS seq_len FROM p{i}" for i in range(1, CHECKED + 1))}""")
+def _(spark, sf):
+    log = B.merge_log(spark, _model(spark, sf))
+    return log.where(F.col("step") <= CHECKED).select("step", "left", "right", "freq", "seq_len")
+
+
+@query("f06_first_merges_encode", f"""
+WITH {_sql_merges(CHECKED)}
+SELECT doc_id, length({"replace(" * CHECKED}text{"".join(f", (SELECT l || r FROM p{i}), chr({0xE000 + i}))" for i in range(1, CHECKED + 1))})::BIGINT AS n_tokens FROM documents""")
+def _(spark, sf):
+    model = _model(spark, sf)
+    first = B.BpeModel(model.base, model.merges[:CHECKED], vocab=model.vocab[: len(model.base) + CHECKED])
+    return B.encode_bpe(_documents(spark, sf), first).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
+
+
 @query("f05_bpe_training")
 def _(spark, sf):
     return B.merge_log(spark, _model(spark, sf))
@@ -121,7 +157,7 @@ def _(spark, sf):
 
 @query("f08_bpe_monitor")
 def _(spark, sf):
-    return B.monitor_view(B.merge_log(spark, _model(spark, sf)), first=10, every=20)
+    return B.monitor_view(B.merge_log(spark, _model(spark, sf)))
 
 
 @query("f09_tokenizer_persistence", "SELECT doc_id, sha1(text) AS sha FROM documents")

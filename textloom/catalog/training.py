@@ -13,7 +13,7 @@ RULE = G.DefinitionRule(
     pattern=r"^([^\n]{1,60}?) (?:is|est|ist|es|the|la|und|de) (.{8,200}?\.)", bad_title=r"[,.;:?!0-9]",
     question="What is %s?", statement="%s is %s", stop=".",
 )
-BLOCK, BATCH, CAP = 128, 8, 6000
+BLOCK, BATCH = 128, 8
 
 _DEFS = f"""
 defs AS MATERIALIZED (SELECT doc_id, regexp_extract(text, '{RULE.pattern}', 1) AS title, regexp_extract(text, '{RULE.pattern}', 2) AS body
@@ -21,12 +21,12 @@ defs AS MATERIALIZED (SELECT doc_id, regexp_extract(text, '{RULE.pattern}', 1) A
 _ITEMS = f"""{_DEFS},
 items AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM (
   SELECT * FROM defs WHERE NOT regexp_matches(title, '{RULE.bad_title}') QUALIFY row_number() OVER (PARTITION BY title ORDER BY doc_id) = 1
-  ORDER BY doc_id LIMIT {CAP}))"""
+))"""
 
 
 def _items(spark, sf):
     docs = load(spark, sf, "documents")
-    return materialize(G.clean_titles(G.definitions(docs, RULE), RULE, limit=CAP), "items")
+    return materialize(G.clean_titles(G.definitions(docs, RULE), RULE), "items")
 
 
 @query("g01_definitions", f"WITH {_DEFS} SELECT * FROM defs")

@@ -199,3 +199,23 @@ def gzip_size_column(level: int):
         )
 
     return size
+
+
+SKETCH_BITS = 4096
+
+
+@F.arrow_udf(S.BinaryType())
+def parity_sketch(hashes: pa.Array) -> pa.Array:
+    """Bit b says whether an odd number of the hashes falls on b."""
+    out = []
+    for values in hashes:
+        places = values.values.to_numpy(zero_copy_only=False) & (SKETCH_BITS - 1)
+        out.append(np.packbits(np.bincount(places, minlength=SKETCH_BITS) & 1).tobytes())
+    return pa.array(out, type=pa.binary())
+
+
+@F.arrow_udf(S.IntegerType())
+def sketch_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Bits in which two parity sketches differ: never more than the sets' symmetric difference."""
+    x, y = (np.frombuffer(b"".join(v.to_pylist()), dtype=np.uint64).reshape(len(v), -1) for v in (a, b))
+    return pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32), type=pa.int32())

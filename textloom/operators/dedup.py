@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.functions.vectorized import minhash_column, wide_minhash_column
+from textloom.functions.vectorized import minhash_column, parity_sketch, sketch_distance, wide_minhash_column
 from textloom.session import materialize
 
 
@@ -207,9 +207,15 @@ MARGIN = 0.01
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
-    """One row per distinct shingle set: first document, copies, sorted shingles."""
+    """One row per distinct shingle set: first document, copies, sorted shingles.
+
+    Sets are grouped by a digest; a set travels only with the one document that
+    keeps it.
+    """
     sets = docs.select(F.col(key), F.sort_array(T.untrimmed_shingles(F.col(text), k)).alias("shingles"))
-    return sets.groupBy("shingles").agg(F.min(key).alias(key), F.count("*").alias("copies"))
+    digest = F.sha2(F.array_join("shingles", "\n"), 256)
+    first = sets.select(key, digest.alias("digest")).groupBy("digest").agg(F.min(key).alias(key), F.count("*").alias("copies"))
+    return sets.join(first.select(key, "copies"), key).select(key, "copies", "shingles")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -218,86 +224,140 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(shared / union)
 
 
-def jaccard_pairs(sets: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """Every pair of shingle sets with Jaccard > threshold, without an all-pairs scan.
+def prefix_candidates(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Pairs (i, j) that may have Jaccard > threshold; no pair that has is left out.
 
-    Shingles are ordered from rare to frequent; two sets above the threshold
-    must share a shingle among the first n - floor(t*n) of each, and the sizes
-    and the positions of the shared shingles bound the overlap from above.
+    Hashed shingles are ordered from rare to frequent.  Two sets above the
+    threshold share one among the first n - floor(t*n) of the larger and the
+    first n - floor(2t/(1+t)*n) of the smaller.  Where a shared one stands
+    bounds the overlap, row by row inside the join and again per pair.
     """
-    flat = sets.select(key, F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    frequency = flat.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    prefix = F.col("n") - F.floor(F.lit(threshold) * F.col("n"))
+    hashed = sets.select(key, F.array_distinct(F.transform("shingles", lambda g: F.xxhash64(g))).alias("g"))
+    flat = hashed.select(key, F.size("g").alias("n"), F.explode("g").alias("g"))
+    frequency = flat.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    probe = F.col("n") - F.floor(F.lit(threshold) * F.col("n"))
     # Shingles of one document only come first in the order and match nothing,
     # so only their number is needed to place the others.
     ranked = (
-        flat.join(frequency, "shingle")
+        flat.join(frequency, "g")
         .groupBy(key, "n")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
-        .select(key, "n", prefix.alias("reach"), (F.col("n") - F.size("common")).alias("unique"), "common")
-        .select(key, "n", F.posexplode(F.slice("common", 1, F.greatest(F.col("reach") - F.col("unique"), F.lit(0)).cast("int"))).alias("at", "entry"), "unique")
-        .select(key, "n", (F.col("at") + F.col("unique") + 1).alias("place"), F.col("entry.shingle").alias("shingle"))
+        .agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("common"))
+        .select(key, "n", (F.col("n") - F.size("common")).alias("unique"), "common")
+        .select(key, "n", "unique", F.posexplode(F.slice("common", 1, F.greatest(probe - F.col("unique"), F.lit(0)).cast("int"))).alias("at", "entry"))
+        .select(F.col("entry.g").alias("g"), key, "n", (F.col("at") + F.col("unique") + 1).alias("place"))
     )
     ranked = materialize(ranked, "prefixes", heavy=True)  # both sides of the join read it
-    left = ranked.select("shingle", F.col(key).alias("i"), F.col("n").alias("n_i"), F.col("place").alias("place_i"))
-    right = ranked.select("shingle", F.col(key).alias("j"), F.col("n").alias("n_j"), F.col("place").alias("place_j"))
-    bound = F.lit(threshold)
+    small = ranked.where(F.col("place") <= F.col("n") - F.floor(F.lit(2 * threshold / (1 + threshold)) * F.col("n")))
+    small = small.select("g", F.col(key).alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    large = ranked.select("g", F.col(key).alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb"))
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     met = (
-        left.join(right, "shingle")
-        .where((F.col("i") < F.col("j")) & (F.least("n_i", "n_j") > bound * F.greatest("n_i", "n_j")))
-        .groupBy("i", "j", "n_i", "n_j")
-        .agg(F.count("*").alias("met"), F.max("place_i").alias("last_i"), F.max("place_j").alias("last_j"))
+        small.join(large, "g")
+        .where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+        .where((F.col("na") > threshold * F.col("nb")) & (F.least("pa", "pb") + rest > needed))
+        .groupBy("a", "b", "na", "nb")
+        .agg(F.count("*").alias("met"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     )
-    # Overlap needed for J > t, and the most that the unseen suffixes can add.
-    needed = bound / (1 + bound) * (F.col("n_i") + F.col("n_j"))
-    possible = F.col("met") + F.least(F.col("n_i") - F.col("last_i"), F.col("n_j") - F.col("last_j"))
-    candidates = met.where(possible > needed).select("i", "j")
-    return verify_jaccard(candidates, sets, key, threshold)
+    # A hash collision could hide one shared shingle, far less than the margin.
+    return met.where(F.col("met") + rest > needed * (1 - MARGIN)).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+
+
+def jaccard_pairs(sets: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """Every pair of shingle sets with Jaccard > threshold, without an all-pairs scan."""
+    return verify_jaccard(prefix_candidates(sets, key, threshold), sets, key, threshold)
 
 
 def verify_jaccard(candidates: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
     """Exact Jaccard of candidate pairs, most of them turned away before strings travel.
 
-    First the sizes alone (they bound the ratio), then 64-bit hashes of the
+    First the sizes alone (they bound the ratio), then 512-byte parity sketches
+    (they bound the symmetric difference from below), then 64-bit hashes of the
     shingles: collisions could move that ratio by far less than ``MARGIN``, so
     what it leaves out is certain.  Only the rest compares the strings.
     """
-    sized = _attach(candidates, sets.select(key, F.size("shingles").alias("n")), key, "n")
-    close = sized.where(F.least("n_i", "n_j") > threshold * F.greatest("n_i", "n_j")).select("i", "j")
-    hashed = sets.select(key, F.transform("shingles", lambda g: F.xxhash64(g)).alias("h"))
+    hashes = F.transform("shingles", lambda g: F.xxhash64(g))
+    held = materialize(sets.select(key, F.size("shingles").alias("n"), parity_sketch(hashes).alias("sketch")), "sketches")
+    sized = _attach(candidates, held.select(key, F.struct("n", "sketch").alias("s")), key, "s")
+    sized = sized.where(F.least("s_i.n", "s_j.n") > threshold * F.greatest("s_i.n", "s_j.n"))
+    apart = F.lit((1 - threshold) / (1 + threshold)) * (F.col("s_i.n") + F.col("s_j.n"))
+    close = materialize(sized.where(sketch_distance("s_i.sketch", "s_j.sketch") <= apart).select("i", "j"), "close")
+    hashed = sets.select(key, hashes.alias("h"))
     likely = _attach(close, hashed, key, "h").where(jaccard(F.col("h_i"), F.col("h_j")) > threshold - MARGIN).select("i", "j")
     full = _attach(likely, sets, key, "shingles")
     measured = full.select("i", "j", jaccard(F.col("shingles_i"), F.col("shingles_j")).alias("jaccard"))
     return measured.where(F.col("jaccard") > threshold)
 
 
-def wide_candidates(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "text",
+def wide_signatures(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "text",
                     cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """LSH candidates over the untrimmed shingle rule and the wide hash family."""
+    """Signatures of the first document of each set: untrimmed shingles and the wide hash family."""
     build = wide_minhash_column(cfg.k, cfg.num_perm)
     reduced = F.regexp_replace(F.col(text), T.SPACE_RUN, " ")
     sigs = docs.join(sets.select(key), key, "left_semi").select(key, build(reduced).alias("sig"))
-    return candidate_pairs(materialize(sigs, "signatures", heavy=True), key, cfg).select("i", "j")
+    return materialize(sigs, "signatures", heavy=True)
+
+
+def wide_candidates(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "text",
+                    cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """LSH candidates over the untrimmed shingle rule and the wide hash family.
+
+    Documents of equal signature are all candidates of each other, so only one
+    of them goes through the buckets; the listing is quadratic by definition.
+    """
+    sigs = wide_signatures(docs, sets, key, text, cfg)
+    members = sigs.select(F.sha2(F.array_join("sig", ","), 256).alias("digest"), key)
+    firsts = materialize(representatives(sigs, key), "firsts")
+    groups = firsts.select(F.sha2(F.array_join("sig", ","), 256).alias("digest"), F.col(key).alias("first"))
+    members = materialize(members.join(groups, "digest").select(key, "first"), "members")
+    pairs = candidate_pairs(firsts, key, cfg).select("i", "j").unionByName(firsts.select(F.col(key).alias("i"), F.col(key).alias("j")))
+    left = members.select(F.col("first").alias("i"), F.col(key).alias("x"))
+    right = members.select(F.col("first").alias("j"), F.col(key).alias("y"))
+    # within one group each pair comes once, between two groups every pair does
+    both = pairs.join(left, "i").join(right, "j").where("i <> j OR x < y")
+    return both.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
 
 
 def lsh_jaccard_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5,
                       cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """Pairs found by banding and confirmed by exact Jaccard."""
+    """Pairs found by banding and confirmed by exact Jaccard.
+
+    Buckets up to ``cfg.front`` members are listed.  Members of a larger bucket
+    are paired by their rare shingles instead, which leaves out no pair above
+    the threshold; those pairs count if they share a band.
+    """
     sets = materialize(shingle_sets(docs, key, text, cfg.k), "shingles", heavy=True)
-    return verify_jaccard(wide_candidates(docs, sets, key, text, cfg), sets, key, threshold)
+    sigs = wide_signatures(docs, sets, key, text, cfg)
+    members = band_members(sigs, key, cfg)
+    sized = materialize(members.join(bucket_sizes(members), "bucket"), "buckets")
+    listed = _pairs_within(sized.where(F.col("size") <= cfg.front), "bucket", key)
+    crowded = materialize(sized.where(F.col("size") > cfg.front).select(key).distinct(), "crowded")
+    if not crowded.isEmpty():
+        listed = listed.unionByName(prefix_candidates(sets.join(crowded, key, "left_semi"), key, threshold)).distinct()
+    banded = _attach(listed, sigs, key, "sig").where(shares_band(F.col("sig_i"), F.col("sig_j"), cfg)).select("i", "j")
+    return verify_jaccard(materialize(banded, "banded"), sets, key, threshold)
+
+
+def dedup_accuracy(sets: DataFrame, candidates: DataFrame, exact: DataFrame, found: DataFrame,
+                   known: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Candidate share and recall of the banded join against the exact one, over all documents.
+
+    Pairs are listed between the first documents of distinct sets; a pair of
+    sets with c and d copies stands for c * d document pairs, and the copies of
+    one set are candidates, exact and found among themselves.
+    """
+    copies = materialize(sets.select(key, F.col("copies").cast("bigint").alias("c")), "copies")
+    total = copies.agg(F.sum("c")).scalar()
+    inside = copies.agg(F.sum(F.expr("c * (c - 1) div 2"))).scalar()
 
+    def documents(pairs: DataFrame) -> Column:
+        weighed = _attach(pairs.select("i", "j"), copies, key, "c")
+        return F.coalesce(weighed.agg(F.sum(F.col("c_i") * F.col("c_j"))).scalar(), F.lit(0)) + inside
 
-def dedup_accuracy(n_docs: Column, candidates: DataFrame, exact: DataFrame, found: DataFrame,
-                   known: DataFrame | None = None) -> DataFrame:
-    """Candidate share and recall of the banded join against the exact one."""
-    pairs = n_docs * (n_docs - 1) / 2
     hit = exact.select("i", "j").intersect(found.select("i", "j"))
     columns = [
-        pairs.cast("bigint").alias("all_pairs"),
-        candidates.agg(F.count("*")).scalar().alias("candidates"),
-        exact.agg(F.count("*")).scalar().alias("exact_pairs"),
-        found.agg(F.count("*")).scalar().alias("lsh_pairs"),
-        hit.agg(F.count("*")).scalar().alias("shared_pairs"),
+        F.floor(total * (total - 1) / 2).cast("bigint").alias("all_pairs"), documents(candidates).alias("candidates"),
+        documents(exact).alias("exact_pairs"), documents(found).alias("lsh_pairs"), documents(hit).alias("shared_pairs"),
     ]
     if known is not None:
         columns.append(known.select("i", "j").intersect(found.select("i", "j")).agg(F.count("*")).scalar().alias("known_found"))

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.stream import placed_units
+from textloom.operators.stream import placed_units, units
 
 # Fixed values of the drift report.
-BASELINE_CHARS = 2_000_000
 TOP_BUCKETS = 50
 EPSILON = 1e-6
 SLIGHT, SEVERE = 0.1, 0.25
@@ -18,17 +17,20 @@ SMOOTHING = 0.5
 OTHER = ""  # bucket of everything outside the top list; no character is empty
 
 
-def baseline_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = BASELINE_CHARS) -> DataFrame:
-    """Character counts of the first ``sample`` stream characters, with first position."""
-    placed = placed_units(docs, key, text).where(F.col("start") < sample)
-    left = (F.lit(sample) - F.col("start")).cast("int")
-    piece = F.when(F.col("start") + F.col("n") <= sample, F.col("unit")).otherwise(F.left("unit", left))
-    cut = placed.select("start", piece.alias("piece"))
-    chars = cut.select("start", F.explode(F.split("piece", "")).alias("ch")).where(F.col("ch") != "")
-    seen = chars.groupBy("ch").agg(F.count("*").alias("n"), F.min("start").alias("start"))
-    # One row per character: look up where it first appears inside its first unit.
-    at = F.col("start") + F.position(F.col("ch"), F.col("piece"))
-    return seen.join(cut, "start").select("ch", "n", at.cast("bigint").alias("first_at"))
+def baseline_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int | None = None) -> DataFrame:
+    """Character counts of the stream, with the place (key, position) where each is first seen.
+
+    ``sample`` takes the first so many stream characters only; by default all count.
+    """
+    if sample is None:
+        pieces = units(docs, key, text).withColumnRenamed("unit", "piece")
+    else:
+        placed = placed_units(docs, key, text).where(F.col("start") < sample)
+        left = (F.lit(sample) - F.col("start")).cast("int")
+        whole = F.col("start") + F.col("n") <= sample
+        pieces = placed.select(key, F.when(whole, F.col("unit")).otherwise(F.left("unit", left)).alias("piece"))
+    chars = pieces.select(key, F.posexplode(F.split("piece", "")).alias("at", "ch")).where(F.col("ch") != "")
+    return chars.groupBy("ch").agg(F.count("*").alias("n"), F.min(F.struct(key, "at")).alias("first_at"))
 
 
 def baseline_buckets(counts: DataFrame, top: int = TOP_BUCKETS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +26,14 @@ ENTRY_SCHEMA = """
 
 
 def build_entries(models: DataFrame, evaluations: DataFrame, corpora: DataFrame, gates: DataFrame, on: str = "run") -> DataFrame:
-    """Assemble ledger entries; a missing report leaves NULLs, which later fail the gate."""
+    """Assemble ledger entries (``ENTRY_SCHEMA``); a missing report leaves NULLs, which later fail the gate."""
     joined = models.join(evaluations, on, "left").join(corpora, on, "left").join(gates, on, "left")
     return joined.select(
         F.concat(F.lit("sha256:"), "digest").alias("model_digest"),
         F.substring("digest", 1, 12).alias("short"),
         F.lit("registered").alias("status"),
         F.col("created_at"),
+        F.col("config"),
         F.col("params_M"),
         F.struct("val_loss", "test_loss", "perplexity").alias("metrics"),
         F.struct(
@@ -41,9 +44,10 @@ def build_entries(models: DataFrame, evaluations: DataFrame, corpora: DataFrame,
 
 
 def register(ledger: DataFrame, entries: DataFrame) -> DataFrame:
-    """Append entries whose digest is new; registering twice changes nothing."""
-    fresh = entries.dropDuplicates(["model_digest"]).join(ledger.select("model_digest"), "model_digest", "left_anti")
-    return ledger.unionByName(fresh.select(*ledger.columns))
+    """Append entries whose digest is new, the first created of each; registering twice changes nothing."""
+    row = F.struct(*[F.col(c) for c in ledger.columns])
+    first = entries.groupBy("model_digest").agg(F.min_by(row, F.struct("created_at", "short")).alias("row")).select("row.*")
+    return ledger.unionByName(first.join(ledger.select("model_digest"), "model_digest", "left_anti").select(*ledger.columns))
 
 
 def gate_reasons(data_gate: Column, test_loss: Column, prod_loss: Column, tol: float = REGRESSION_TOLERANCE) -> Column:
@@ -110,9 +114,19 @@ def strict_gate(candidates: DataFrame, current_loss: Column) -> DataFrame:
     return candidates.withColumn("verdict", verdict)
 
 
-def model_cards(ledger: DataFrame) -> DataFrame:
-    """One markdown card per entry."""
+# What every card says about the limits of its model.
+CARD_LIMITS = (
+    "trained on one corpus; other domains are untested",
+    "too small for unattended text generation",
+)
+_SHAPE = ("n_layer", "n_head", "n_kv_head", "n_embd", "block_size", "vocab_size", "dropout", "bias")
+_PARTS = ("use_rmsnorm", "use_swiglu", "use_rope", "use_flash")
+
+
+def model_cards(ledger: DataFrame, limits: Sequence[str] = CARD_LIMITS) -> DataFrame:
+    """One markdown card per entry: identity, size, architecture, metrics, lineage and limits."""
     v = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    pairs = lambda names, at: F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), v(f"{at}.{n}")) for n in names])
     gate = F.when(F.col("lineage.data_quality_gate"), F.lit("passed")).otherwise(F.lit("failed or unknown"))
     lines = [
         F.concat(F.lit("# Model Card - `"), v("short"), F.lit("`")),
@@ -122,11 +136,15 @@ def model_cards(ledger: DataFrame) -> DataFrame:
         F.concat(F.lit("| Digest | `"), v("model_digest"), F.lit("` |")),
         F.concat(F.lit("| Status | **"), v("status"), F.lit("** |")),
         F.concat(F.lit("| Created | "), v("created_at"), F.lit(" |")),
+        F.concat(F.lit("| Parameters | "), v("params_M"), F.lit(" M |")),
         F.concat(F.lit("| Commit | `"), v("lineage.code_commit"), F.lit("` |")),
         F.lit(""),
+        F.lit("## Architecture"),
+        F.concat(F.lit("- "), pairs(_SHAPE, "config")),
+        F.concat(F.lit("- "), pairs(_PARTS, "config")),
+        F.lit(""),
         F.lit("## Metrics"),
-        F.concat(F.lit("- val_loss="), v("metrics.val_loss"), F.lit(", test_loss="), v("metrics.test_loss"),
-                 F.lit(", perplexity="), v("metrics.perplexity")),
+        F.concat(F.lit("- "), pairs(("val_loss", "test_loss", "perplexity"), "metrics")),
         F.lit(""),
         F.lit("## Lineage"),
         F.concat(F.lit("- data digest: `"), v("lineage.data_digest"), F.lit("`")),
@@ -134,6 +152,9 @@ def model_cards(ledger: DataFrame) -> DataFrame:
                  F.lit(", train tokens: "), v("lineage.train_tokens")),
         F.concat(F.lit("- tokenizer: "), v("lineage.tokenizer")),
         F.concat(F.lit("- data quality gate: "), gate),
+        F.lit(""),
+        F.lit("## Limits"),
+        *[F.lit(f"- {text}") for text in limits],
     ]
     return ledger.select("short", F.concat_ws("\n", *lines).alias("card"))
 

@@ -8,6 +8,7 @@ number - supply the offsets.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from textloom.session import materialize
 
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 256
 MAX_BUCKETS = 1 << 16
 SAMPLES_PER_BUCKET = 8
 
@@ -23,27 +24,33 @@ SAMPLES_PER_BUCKET = 8
 def bucket_bounds(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list:
     """Upper-exclusive split points; the driver sees at most 8 sampled keys per bucket."""
     rows = df.select(key).count()
-    wanted = max(1, -(-rows // rows_per_bucket))
+    wanted = max(2, -(-rows // rows_per_bucket))
     buckets = min(MAX_BUCKETS, 1 << (wanted - 1).bit_length())
-    if buckets == 1:
-        return []
-    share = min(1.0, buckets * SAMPLES_PER_BUCKET / rows)
-    sample = sorted(r[0] for r in df.select(key).sample(False, share, seed=11).collect())
+    share = min(1.0, buckets * SAMPLES_PER_BUCKET / max(rows, 1))
+    sample = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).sample(False, share, seed=11).collect())
     if not sample:
         return []
     return [sample[(i * len(sample)) // buckets] for i in range(1, buckets)]
 
 
+def _points(bounds: list) -> Column:
+    """The bounds as one literal: parsed from JSON where that says a value exactly, which is one call for all."""
+    if isinstance(bounds[0], (int, str)) and not isinstance(bounds[0], bool):
+        kind = "array<string>" if isinstance(bounds[0], str) else "array<bigint>"
+        return F.from_json(F.lit(json.dumps(bounds)), kind)
+    return F.lit(bounds)
+
+
 def order_bucket(key: Column, bounds: list) -> Column:
     """Number of bounds that are <= key, by a branch-free binary search."""
     if not bounds:
-        return F.lit(0)
+        return F.when(key.isNull(), 1).otherwise(0)
     steps = []
     step = (len(bounds) + 1) // 2
     while step:
         steps.append(step)
         step //= 2
-    points = F.lit(bounds)
+    points = _points(bounds)
     return F.aggregate(
         F.lit(steps),
         F.lit(0),
@@ -56,31 +63,31 @@ def running_totals(
 ) -> DataFrame:
     """Add, per named value, the total over all rows (of the group) with a smaller ``key``.
 
-    ``key`` must be unique (within ``by``).  ``df`` is read three times, so pass
-    a scan or a materialized table, not a long chain.
+    ``key`` must be unique (within ``by``).  Only the key and the values are
+    dealt out, sorted and summed; the other columns meet the totals in one join.
+    ``df`` is read several times, so pass a scan or a materialized table, not a
+    long chain.
     """
     bounds = bucket_bounds(df, key, rows_per_bucket)
     group = [*by, "_bucket"]
-    rows = df.select("*", order_bucket(F.col(key), bounds).alias("_bucket"),
+    slim = df.select(*by, key, order_bucket(F.col(key), bounds).alias("_bucket"),
                      *[v.alias(f"_v_{n}") for n, v in values.items()])
     before = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.select(
-        "*", *[F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_l_{n}") for n in values]
+    local = slim.select(
+        *group, key, *[F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_l_{n}") for n in values]
     )
-    hidden = ["_bucket", *[f"_v_{n}" for n in values], *[f"_l_{n}" for n in values]]
-    if not bounds:
-        return local.select("*", *[F.col(f"_l_{n}").alias(n) for n in values]).drop(*hidden)
     # One row per bucket (and group); without groups at most MAX_BUCKETS rows.
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*group).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+        slim.groupBy(*group).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
         .select(*group, *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in values])
     )
-    return (
-        local.join(offsets if by else F.broadcast(offsets), group)
-        .select("*", *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in values])
-        .drop(*hidden, *[f"_o_{n}" for n in values])
+    totals = local.join(offsets if by else F.broadcast(offsets), group).select(
+        *by, key, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in values]
     )
+    if set(df.columns) <= {key, *by}:
+        return totals
+    return df.join(totals, [*by, key]).select(*df.columns, *values)
 
 
 def values_at(df: DataFrame, value: str, by: Sequence[str] = (), **picks: Callable[[Column], Column]) -> DataFrame:
@@ -111,13 +118,21 @@ def with_ordinal(df: DataFrame, key: str, name: str = "ordinal", rows_per_bucket
 
 
 def take_until_budget(df: DataFrame, key: str, text: str, max_bytes: int, max_docs: int | None = None) -> DataFrame:
-    """Documents in order until a UTF-8 byte budget; the crossing document stays."""
+    """Documents in order until a UTF-8 byte budget; the crossing document stays.
+
+    What fits is a prefix in key order, so the texts are filtered by its last
+    key (which reaches the scan); only the prefix meets its totals.
+    """
     sized = df.select(key, F.octet_length(text).cast("bigint").alias("n_bytes"))
     placed = running_totals(sized, key, bytes_before=F.col("n_bytes"), ordinal=F.lit(1).cast("bigint"))
     fits = F.col("bytes_before") < max_bytes
     if max_docs is not None:
         fits = fits & (F.col("ordinal") < max_docs)
-    return df.join(placed.where(fits).select(key, "ordinal", "bytes_before"), key)
+    taken = materialize(placed.where(fits).select(key, "ordinal", "bytes_before"), "budget")
+    last = taken.agg(F.max(key)).first()[0]
+    if last is None:
+        return df.join(taken, key)
+    return df.where(F.col(key) <= last).join(taken, key)
 
 
 def head_by_order(df: DataFrame, key: str, share: float, name: str = "held_out") -> DataFrame:

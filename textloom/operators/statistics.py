@@ -83,12 +83,9 @@ def corpus_compression(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def top_characters(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 20) -> DataFrame:
     """Most frequent characters of the stream; ties go to the first one seen."""
-    chars = units(docs, key, text).select(key, F.explode(F.split("unit", "")).alias("ch")).where(F.col("ch") != "")
-    counted = chars.groupBy("ch").agg(F.count("*").alias("n"), F.min(key).alias(key))
-    # One row per distinct character, so only their first documents are looked at again.
-    at = F.position(F.col("ch"), F.col("unit"))
-    seen = counted.join(units(docs, key, text), key).select("ch", "n", key, at.alias("at"))
-    return seen.orderBy(F.col("n").desc(), key, "at").limit(top).select("ch", "n")
+    chars = units(docs, key, text).select(key, F.posexplode(F.split("unit", "")).alias("at", "ch")).where(F.col("ch") != "")
+    seen = chars.groupBy("ch").agg(F.count("*").alias("n"), F.min(F.struct(key, "at")).alias("first_at"))
+    return seen.orderBy(F.col("n").desc(), "first_at").limit(top).select("ch", "n")
 
 
 def length_summary(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:

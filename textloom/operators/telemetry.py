@@ -47,12 +47,28 @@ def latency_sketch(requests: DataFrame, by: Sequence[str], ps: Sequence[float] =
     return requests.groupBy(*by).agg(*[F.percentile_approx(value, p, accuracy).alias(f"p{round(p * 100)}") for p in ps])
 
 
-def bucket_counts(rows: DataFrame, value: str, borders: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Cumulative histogram (le, cumulative_count); the last border is infinity."""
+def _histogram(value: str, borders: Sequence[float]) -> Column:
     v = F.col(value)
     counts = [F.struct(F.lit(float(b)).alias("le"), F.count_if(v <= b).alias("cumulative_count")) for b in borders]
     counts.append(F.struct(F.lit(float("inf")).alias("le"), F.count(v).alias("cumulative_count")))
-    return rows.groupBy(*by).agg(F.array(*counts).alias("h")).select(*by, F.inline("h"))
+    return F.array(*counts).alias("h")
+
+
+def bucket_counts(rows: DataFrame, value: str, borders: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Cumulative histogram (le, cumulative_count); the last border is infinity."""
+    return rows.groupBy(*by).agg(_histogram(value, borders)).select(*by, F.inline("h"))
+
+
+def windowed_histogram(rows: DataFrame, by: Sequence[str] = ("variant",), value: str = "latency", borders: Sequence[float] = LATENCY_BORDERS,
+                       width: str = RATE_WINDOW) -> DataFrame:
+    """One row per window and group with its cumulative histogram ``h``; also for streams, where it is the whole state."""
+    return _flat(rows.groupBy(minute(width=width), *by).agg(_histogram(value, borders)))
+
+
+def windowed_quantile(histograms: DataFrame, q: float, by: Sequence[str] = ("variant",)) -> DataFrame:
+    """Interpolated quantile of each window and group of ``windowed_histogram``."""
+    keys = ["window_start", *by]
+    return histogram_quantile(histograms.select(*keys, F.inline("h")), q, keys)
 
 
 def histogram_quantile(histogram: DataFrame, q: float, by: Sequence[str] = ()) -> DataFrame:

@@ -29,7 +29,6 @@ PREFERENCE_RULE = DefinitionRule(pattern=r"^(.{1,14}?)是(.{8,60}?。)")
 PROMPT_TEMPLATE = "問：%s\n答："    # fixed value: prompt wording shared by all sets
 RESPONSE_SUFFIX = "\n\n"            # fixed value: end of an answer
 STRIDE = 337                        # fixed value: distance to the borrowed body
-MAX_ITEMS = 6000
 HELD_OUT_SHARE = 0.1
 
 
@@ -41,8 +40,8 @@ def definitions(docs: DataFrame, rule: DefinitionRule = SFT_RULE, key: str = "do
     )
 
 
-def clean_titles(items: DataFrame, rule: DefinitionRule = SFT_RULE, key: str = "doc_id", limit: int | None = MAX_ITEMS) -> DataFrame:
-    """Clean titles only, first document per title, first ``limit`` in order."""
+def clean_titles(items: DataFrame, rule: DefinitionRule = SFT_RULE, key: str = "doc_id", limit: int | None = None) -> DataFrame:
+    """Clean titles only, first document per title; with ``limit``, the first so many in order."""
     good = items.where(~F.col("title").rlike("(?U)" + rule.bad_title))
     first = good.groupBy("title").agg(F.min(key).alias(key))
     kept = good.join(first, ["title", key], "left_semi").select(key, "title", "body")

@@ -38,14 +38,15 @@ def read_delimited(spark: SparkSession, path: str, doc_sep: str | None = None) -
     so that one is added back per file.
     """
     if not doc_sep:
-        raw = spark.read.text(path, wholetext=True).select(F.make_valid_utf8("value").alias("text"), _place(F.col("_metadata.file_path"), F.lit(0), F.lit(0)).alias("place"))
+        raw = spark.read.text(path, wholetext=True).select(F.make_valid_utf8("value").alias("text"), F.lit(0).cast("bigint").alias("n_bytes"), _place(F.col("_metadata.file_path"), F.lit(0), F.lit(0)).alias("place"))
     else:
         # File, offset of the split and row inside it: the order of the documents.
         raw = spark.read.option("lineSep", doc_sep).text(path).select(
-            F.make_valid_utf8("value").alias("text"),
+            F.make_valid_utf8("value").alias("text"), F.octet_length("value").cast("bigint").alias("n_bytes"),
             _place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
         )
-        raw = raw.unionByName(_trailing_documents(spark, path, doc_sep))
+        raw = materialize(raw, "delimited")
+        raw = raw.unionByName(_trailing_documents(spark, path, raw, doc_sep))
     placed = with_ordinal(materialize(raw, "delimited"), "place", "doc_id")
     source = F.concat(F.substring_index("place", "|", 1), F.lit("#"), F.col("doc_id").cast("string"))
     return placed.select("doc_id", "text", source.alias("source"))
@@ -57,39 +58,35 @@ def _place(file: Column, offset: Column, row: Column) -> Column:
     return F.concat_ws("|", name, F.lpad(offset.cast("string"), 20, "0"), F.lpad(row.cast("string"), 20, "0"))
 
 
-def _trailing_documents(spark: SparkSession, path: str, doc_sep: str) -> DataFrame:
-    """One empty document, placed last, per file that is empty or ends with the separator."""
-    names = [f for f in _files(spark, path) if _ends_with(spark, f, doc_sep)]
-    schema = "text string, file string, last bigint"
-    rows = spark.createDataFrame([("", f, (1 << 62)) for f in names], schema)
-    return rows.select("text", _place(F.col("file"), F.col("last"), F.lit(0)).alias("place"))
+def _trailing_documents(spark: SparkSession, path: str, rows: DataFrame, doc_sep: str) -> DataFrame:
+    """One empty document, placed last, per file that is empty or ends with the separator.
 
-
-def _hadoop(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    Such a file is as long as its rows with a separator after every one, the
+    last included; no file is opened for its size.  Scans leave out files
+    without a byte, so their names come from the driver's listing.
+    """
+    name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    sizes = spark.read.format("binaryFile").load(path).select(name(F.col("path")).alias("file"), "length")
+    filled = rows.groupBy(F.substring_index("place", "|", 1).alias("file")).agg(F.sum(F.col("n_bytes") + len(doc_sep.encode("utf-8"))).alias("filled"))
+    full = sizes.join(filled, "file").where(F.col("length") == F.col("filled")).select("file")
+    empty = spark.createDataFrame([(f,) for f in _empty_files(spark, path)], "file string").select(name(F.col("file")).alias("file"))
+    ends = full.unionByName(empty)
+    return ends.select(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("n_bytes"), _place(F.col("file"), F.lit(1 << 62), F.lit(0)).alias("place"))
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    """File paths below ``path``; the driver lists names, as any scan does."""
-    target, fs = _hadoop(spark, path)
-    found = [e.getPath() for e in fs.listStatus(target) if e.isFile()]
-    kept = [p for p in found if not p.getName().startswith(("_", "."))]
-    return [p.toUri().toString() for p in kept]
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    files = [e.getPath() for e in found if e.isFile() and e.getLen() == 0]
+    return [p.toUri().toString() for p in files if not p.getName().startswith(("_", "."))]
 
 
-def _ends_with(spark: SparkSession, path: str, suffix: str) -> bool:
-    """Look at the last bytes of the file through the cluster's file system."""
-    target, fs = _hadoop(spark, path)
-    size, wanted = fs.getFileStatus(target).getLen(), suffix.encode("utf-8")
-    if size < len(wanted):
-        return size == 0
-    stream = fs.open(target)
-    try:
-        stream.seek(size - len(wanted))
-        return bytes(stream.read() & 0xFF for _ in wanted) == wanted
-    finally:
-        stream.close()
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, text): the lines of the part files below ``path``, in the order of names and places."""
+    raw = spark.read.text(path).select(
+        F.col("value").alias("text"), _place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")
+    )
+    return with_ordinal(materialize(raw, "lines"), "place").select("ordinal", "text")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -101,11 +98,11 @@ def read_preferences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_logs(spark: SparkSession, path: str, schema: str = RUN_LOG_SCHEMA) -> DataFrame:
-    """CSV logs; the run is named by the file stem."""
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
-    return spark.read.schema(schema).option("header", "true").option("pathGlobFilter", "*.csv").csv(path).select(
-        stem.alias("run"), "*"
-    )
+    """CSV logs; the run is named by its folder (``run=name``) or else by the file stem."""
+    file = F.col("_metadata.file_path")
+    folder, stem = F.regexp_extract(file, "/run=([^/]+)/", 1), F.regexp_extract(file, r"([^/]+)\.csv$", 1)
+    logs = spark.read.schema(schema).option("header", "true").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").csv(path)
+    return logs.select(F.coalesce(F.nullif(folder, F.lit("")), stem).alias("run"), "*")
 
 
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:
@@ -119,9 +116,9 @@ def stream_request_log(spark: SparkSession, path: str) -> DataFrame:
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SHA-256 of the bytes of every file, with the 12-character short form."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     digest = F.sha2("content", 256)
     return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("n_bytes"),
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("n_bytes"),
         digest.alias("digest"), F.substring(digest, 1, 12).alias("short"),
     )

@@ -13,8 +13,8 @@ def write_pairs(rows: DataFrame, path: str) -> None:
 
 
 def write_run_log(log: DataFrame, path: str) -> None:
-    """One folder per run, one CSV table each."""
-    log.repartition("run").sortWithinPartitions("run", "step").write.mode("overwrite").partitionBy("run").option("header", "true").csv(path)
+    """One folder of CSV files per run; each task sorts and writes what it has."""
+    log.sortWithinPartitions("run", "step").write.mode("overwrite").partitionBy("run").option("header", "true").csv(path)
 
 
 def write_token_blocks(blocks: DataFrame, path: str, vocab_size: int) -> None:
@@ -28,9 +28,14 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_merged_text(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Clean documents in order, separated by a blank line, as ordered part files."""
-    ordered = docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key)
-    ordered.select(text).write.mode("overwrite").option("lineSep", "\n\n").text(path)
+    """Clean documents in order with a blank line between, as part files whose concatenation is the text.
+
+    The last document ends with one line end and no blank line.
+    """
+    last = docs.agg(F.max(key)).scalar()
+    spaced = F.when(F.col(key) == last, F.col(text)).otherwise(F.concat(F.col(text), F.lit("\n")))
+    ordered = docs.select(key, spaced.alias("value")).repartitionByRange(key).sortWithinPartitions(key)
+    ordered.select("value").write.mode("overwrite").text(path)
 
 
 def write_cards(cards: DataFrame, path: str) -> None:

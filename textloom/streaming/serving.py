@@ -25,15 +25,25 @@ def file_stream(spark: SparkSession, folder: str, table: str, schema: S.StructTy
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def with_event_time(stream: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
-    """Watermarks need a zoned timestamp."""
-    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+def with_event_time(stream: DataFrame, ts: str = "ts", lateness: str | None = LATENESS) -> DataFrame:
+    """Watermarks need a zoned timestamp.  Without ``lateness`` no row is ever too late, and state is kept for good."""
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed.withWatermark(ts, lateness) if lateness else timed
 
 
-def run_updates(result: DataFrame, mode: str = "update") -> DataFrame:
-    """Run the stream over everything available; returns all emitted rows with ``batch_id``."""
+def _folders(spark: SparkSession, folder: str | None) -> tuple[str, str]:
+    """Where a job keeps results and state: the caller's folder, so that a restart resumes, or a new one."""
+    folder = (folder or scratch_path(spark, "stream")).rstrip("/")
+    return f"{folder}/out", f"{folder}/state"
+
+
+def run_updates(result: DataFrame, mode: str = "update", folder: str | None = None) -> DataFrame:
+    """Run the stream over everything available; returns all emitted rows with ``batch_id``.
+
+    With the same ``folder`` a later run reads only what has come since.
+    """
     spark = result.sparkSession
-    out, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
+    out, state = _folders(spark, folder)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -53,19 +63,19 @@ def latest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in values])
 
 
-def windowed(stream: DataFrame, job: Callable[[DataFrame], DataFrame], keys: Sequence[str]) -> DataFrame:
+def windowed(stream: DataFrame, job: Callable[[DataFrame], DataFrame], keys: Sequence[str], folder: str | None = None) -> DataFrame:
     """Run a windowed telemetry function on a stream to completion."""
-    return latest(run_updates(job(stream)), keys)
+    return latest(run_updates(job(stream), folder=folder), keys)
 
 
-def live_drift(prompts: DataFrame, text: str, buckets: DataFrame, vocab: DataFrame) -> DataFrame:
+def live_drift(prompts: DataFrame, text: str, buckets: DataFrame, vocab: DataFrame, folder: str | None = None) -> DataFrame:
     """Cumulative character counts of all requests, reported after every micro-batch.
 
     State is one row per distinct character.  The request counter rides along
-    as a row of its own.
+    as a row of its own.  With the same ``folder`` a later run goes on counting.
     """
     spark = prompts.sparkSession
-    out, state = scratch_path(spark, "drift-out"), scratch_path(spark, "drift-state")
+    out, state = _folders(spark, folder)
     buckets, vocab = materialize(buckets, "buckets"), materialize(vocab, "vocab")
     request = F.lit("")  # the counter of requests; no character is empty
     symbols = F.concat(F.array(request), F.filter(F.split(F.col(text), ""), lambda c: c != ""))
