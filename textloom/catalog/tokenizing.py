@@ -98,9 +98,9 @@ def _sql_merges(n: int) -> str:
     """CTEs b0..bn and p1..pn: the stream after each merge, a merged token written as one private-use character."""
     parts = [f"b0 AS MATERIALIZED (SELECT string_agg(text, {X.NL} || {X.NL} ORDER BY doc_id) AS body FROM documents)"]
     for i in range(1, n + 1):
-        parts.append(f"""p{i} AS MATERIALIZED (SELECT l, r, count(*) AS freq, min(pos) AS at FROM (
+        parts.append(f"""p{i} AS MATERIALIZED (SELECT l, r, count(*) AS freq, min(pos) AS first_at FROM (
   SELECT c AS l, lead(c) OVER (ORDER BY pos) AS r, pos FROM (SELECT unnest(string_split(body, '')) AS c, generate_subscripts(string_split(body, ''), 1) AS pos FROM b{i - 1}))
-  WHERE r IS NOT NULL GROUP BY l, r ORDER BY freq DESC, at LIMIT 1),
+  WHERE r IS NOT NULL GROUP BY l, r ORDER BY freq DESC, first_at LIMIT 1),
 b{i} AS MATERIALIZED (SELECT replace(body, l || r, chr({0xE000 + i})) AS body FROM b{i - 1}, p{i})""")
     return ",\n".join(parts)
 

@@ -59,12 +59,17 @@ def stream_chunks(docs: DataFrame, key: str, text: str, chunk_chars: int) -> Dat
     return body.join(dense, "slot").select("chunk", "body")
 
 
+def _holds(ordered: np.ndarray, chunk: int) -> bool:
+    at = int(np.searchsorted(ordered, chunk))
+    return at < ordered.size and ordered[at] == chunk
+
+
 def _apply(chunk: int, ids: np.ndarray, merges: Sequence[Merge]) -> np.ndarray:
     for m in merges:
-        if chunk in m.yields:
+        if _holds(m.yields, chunk):
             ids = ids[1:]
         ids = merge_pair(ids, m.left, m.right, m.new)
-        if chunk in m.absorbs:
+        if _holds(m.absorbs, chunk):
             ids = np.append(ids[:-1], np.int32(m.new))
     return ids
 
@@ -114,7 +119,7 @@ def _pass_statistics(tokens: DataFrame, merges: Sequence[Merge]) -> DataFrame:
                 "edge": pa.array([False] * codes.size + [True]),
             })
 
-    return materialize(tokens.mapInArrow(run, _STATS), "pairs")
+    return tokens.mapInArrow(run, _STATS)
 
 
 def _best_pairs(stats: DataFrame, limit: int) -> list:
@@ -135,22 +140,24 @@ def _best_pairs(stats: DataFrame, limit: int) -> list:
 def _independent_prefix(best: list, limit: int) -> list:
     """Merges that the one-at-a-time procedure would pick next in exactly this order.
 
-    A merge changes only pairs that touch its two tokens, and every pair it
-    creates is at most as frequent as one of those.  So the ranking can be
-    followed while pairs share no token and stay strictly more frequent than
-    the best pair that does.
+    Merging (a, b) takes occurrences only from pairs that end in a or begin
+    with b, and every pair it creates is at most as frequent as one of those.
+    Pairs that share just their first or just their second token stand at
+    different places and leave each other alone.  So the ranking can be
+    followed up to the first pair that begins where a chosen one ends or the
+    other way round, as long as counts stay strictly above that pair's.
     """
     if len(best) <= 1 or best[0]["left"] == best[0]["right"]:
         return best[:1]
-    chosen, used = [], set()
+    chosen, lefts, rights = [], set(), set()
     ceiling = best[-1]["n"] if len(best) == limit else 0
     for pair in best:
-        tokens = {pair["left"], pair["right"]}
-        if pair["left"] == pair["right"] or tokens & used:
+        if pair["left"] == pair["right"] or pair["left"] in rights or pair["right"] in lefts:
             ceiling = max(ceiling, pair["n"])
             break
         chosen.append(pair)
-        used |= tokens
+        lefts.add(pair["left"])
+        rights.add(pair["right"])
     return [p for i, p in enumerate(chosen) if i == 0 or (p["n"] > ceiling and p["n"] >= 2)]
 
 
@@ -190,8 +197,9 @@ def train_bpe(docs: DataFrame, num_merges: int, key: str = "doc_id", text: str =
     pending: list[Merge] = []
     passes = 0
     while True:
-        stats = _pass_statistics(tokens, pending)
-        edges = stats.where("edge").orderBy("chunk").select("chunk", "left", "right", "n", "lead", "trail").collect()
+        # read twice within the pass; a lost block is computed again from the token table
+        stats = _pass_statistics(tokens, pending).persist()
+        edges = sorted(stats.where("edge").select("chunk", "left", "right", "n", "lead", "trail").collect(), key=lambda e: e["chunk"])
         length = sum(e["n"] for e in edges)
         if not model.merges:
             model.orig_len = length
@@ -199,6 +207,7 @@ def train_bpe(docs: DataFrame, num_merges: int, key: str = "doc_id", text: str =
             model.log[-1] = (*model.log[-1][:-1], length)
         wanted = num_merges - len(model.merges)
         best = [p for p in _best_pairs(stats, LOOKAHEAD) if p["n"] >= 2] if wanted > 0 else []
+        stats.unpersist()
         if not best:
             break
         for pair in _independent_prefix(best, LOOKAHEAD)[:wanted]:

@@ -31,25 +31,29 @@ def backoff_probabilities(grams: DataFrame, table: DataFrame, vocab_size: Column
     """Probability of the last character of each distinct gram.
 
     The highest order whose context was seen decides; scoring distinct grams
-    weighted by their count replaces one join row per stream position.
+    weighted by their count replaces one join row per stream position.  Only
+    contexts of a character or more are joined: the empty one is a single
+    total, not a key that every gram would meet.
     """
-    steps = F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("order")
-    tried = grams.select("gram", steps).select(
-        "gram", "order",
-        F.left(F.right(F.col("gram"), F.col("order")), F.col("order") - 1).alias("context"),
-        F.right("gram", F.lit(1)).alias("ch"),
+    longer = table.where(F.col("order") >= 2)
+    tried = grams.where(F.length("gram") >= 2).select("gram", F.explode(F.sequence(F.lit(2), F.length("gram"))).alias("order")).select(
+        "gram", "order", F.left(F.right(F.col("gram"), F.col("order")), F.col("order") - 1).alias("context"),
     )
     chosen = (
-        tried.join(context_totals(table), ["order", "context"])
-        .groupBy("gram", "ch").agg(F.max(F.struct("order", "context", "total")).alias("best"))
-        .select("gram", "ch", "best.*")
+        tried.join(context_totals(longer), ["order", "context"])
+        .groupBy("gram").agg(F.max(F.struct("order", "context", "total")).alias("best"))
+        .select("gram", "best.*")
     )
-    scored = chosen.join(table, ["order", "context", "ch"], "left").select(
-        "gram", ((F.coalesce("n", F.lit(0)) + add_k) / (F.col("total") + add_k * vocab_size)).alias("p")
-    )
-    return grams.join(scored, "gram", "left").select(
-        "gram", "n", F.coalesce("p", 1.0 / vocab_size).alias("p")
+    plain = table.where(F.col("order") == 1)
+    seen = chosen.withColumn("ch", F.right("gram", F.lit(1))).join(longer, ["order", "context", "ch"], "left").select(
+        "gram", "total", F.coalesce("n", F.lit(0)).alias("hits")
     )
+    alone = plain.select("ch", F.col("n").alias("ch_n"))
+    scored = grams.join(seen, "gram", "left").withColumn("ch", F.right("gram", F.lit(1))).join(F.broadcast(alone), "ch", "left")
+    total = F.coalesce(F.col("total"), plain.agg(F.sum("n")).scalar())
+    hits = F.when(F.col("total").isNotNull(), F.col("hits")).otherwise(F.coalesce("ch_n", F.lit(0)))
+    p = (hits + add_k) / (total + add_k * vocab_size)
+    return scored.select("gram", "n", F.coalesce(p, 1.0 / vocab_size).alias("p"))
 
 
 def bits_per_character(scored: DataFrame) -> DataFrame:
