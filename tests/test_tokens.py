@@ -131,3 +131,21 @@ def test_windows_are_shifted_slices(spark):
     starts = spark.createDataFrame([(i, i) for i in range(len(whole) - 8)], "sample_id bigint, start bigint")
     for r in K.training_windows(K.stream_blocks(placed, 8), starts, 8).collect():
         assert r["x"] == whole[r["start"]:r["start"] + 8] and r["y"] == whole[r["start"] + 1:r["start"] + 9]
+
+
+def test_token_stream_is_split_packed_and_windowed(spark):
+    rng = random.Random(7)
+    rows = [(k, [rng.randrange(900) for _ in range(rng.choice([0, 1, 5, 40]))]) for k in range(60)]
+    stream = [i for _, ids in rows for i in ids]
+    placed = ST.placed_tokens(spark.createDataFrame(rows, "chunk bigint, ids array<int>"), "chunk").persist()
+    held = max(1, int(len(stream) * 0.1))
+    want = {"train": stream[: -2 * held], "val": stream[-2 * held : -held], "test": stream[-held:]}
+    pieces = ST.token_splits(placed)
+    for split, ids in want.items():
+        got = pieces.where(F.col("split") == split).orderBy("at").collect()
+        assert [i for r in got for i in r["ids"]] == ids
+    blocks = {(r["split"], r["block_id"]): r["ids"] for r in ST.token_blocks(pieces, 16).collect()}
+    assert blocks == {(s, n // 16): ids[n : n + 16] for s, ids in want.items() for n in range(0, len(ids), 16)}
+    starts = spark.createDataFrame([(n, n * 7) for n in range((len(stream) - 17) // 7)], "sample_id bigint, start bigint")
+    for r in ST.token_windows(ST.token_blocks(placed, 16, by=(), at="start"), starts, 16).collect():
+        assert r["x"] == stream[r["start"] : r["start"] + 16] and r["y"] == stream[r["start"] + 1 : r["start"] + 17]

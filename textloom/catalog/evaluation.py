@@ -401,13 +401,14 @@ def _(spark, sf):
     return _rounded(R.generalisation_gap(X.run_log(load(spark, sf, "events"))), "train_acc", "held_acc", "gap")
 
 
+RUNS = ("click", "error", "purchase", "signup", "view")
+
+
 @query("h28_generalisation_curve", f"""
-WITH {X.RUN_LOG} SELECT step::BIGINT AS step, round(max(held_acc) FILTER (run = 'click'), 6) AS click, round(max(held_acc) FILTER (run = 'view'), 6) AS view
-FROM run_log WHERE run IN ('click', 'view') GROUP BY step""")
+WITH {X.RUN_LOG} SELECT step::BIGINT AS step, {", ".join(f"round(max(held_acc) FILTER (run = '{r}'), 6) AS {r}" for r in RUNS)} FROM run_log GROUP BY step""")
 def _(spark, sf):
-    log = X.run_log(load(spark, sf, "events")).where(F.col("run").isin("click", "view"))
-    curve = R.generalisation_curve(log, ["click", "view"], axis="run").withColumn("step", F.col("step").cast("bigint"))
-    return _rounded(curve, "click", "view")
+    curve = R.generalisation_curve(X.run_log(load(spark, sf, "events")), RUNS, axis="run").withColumn("step", F.col("step").cast("bigint"))
+    return _rounded(curve, *RUNS)
 
 
 LENGTHS = (64, 96, 128, 160, 192, 224, 256)  # fixed values: evaluation lengths

@@ -7,6 +7,8 @@ units in key order and no document ever has to meet another one to be counted.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,44 @@ def split_pieces(placed: DataFrame, val_frac: float = 0.1, test_frac: float = 0.
     return ranges.withColumn("piece", F.when(whole, F.col("unit")).otherwise(cut)).drop("unit")
 
 
+def placed_tokens(rows: DataFrame, key: str, ids: str = "ids") -> DataFrame:
+    """Rows of token ids, of either tokenizer, with their start in the token stream."""
+    sized = rows.select(key, F.col(ids).alias("ids"), F.size(ids).cast("bigint").alias("n"))
+    return running_totals(sized, key, start=F.col("n"))
+
+
+def token_splits(placed: DataFrame, val_frac: float = 0.1, test_frac: float = 0.1) -> DataFrame:
+    """Ids of every row cut at the split borders; ``at`` counts from the start of the split."""
+    ranges = split_ranges(placed, val_frac, test_frac)
+    first = ranges.groupBy("split").agg(F.min("lo").alias("base"))  # three rows
+    cut = F.slice("ids", (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+    return ranges.withColumn("ids", cut).join(F.broadcast(first), "split").withColumn("at", F.col("lo") - F.col("base")).drop("base", "start", "n")
+
+
+def token_blocks(pieces: DataFrame, block: int, by: Sequence[str] = ("split",), at: str = "at") -> DataFrame:
+    """Consecutive blocks of ``block`` ids per group, each gathered from the rows that overlap it."""
+    end = F.col(at) + F.size("ids")
+    numbers = F.sequence(F.floor(F.col(at) / block), F.floor((end - 1) / block))
+
+    def part(b: Column) -> Column:
+        start = F.greatest(F.col(at), b * block)
+        ids = F.slice("ids", (start - F.col(at) + 1).cast("int"), (F.least(end, (b + 1) * block) - start).cast("int"))
+        return F.struct(b.alias("block_id"), start.alias("start"), ids.alias("ids"))
+
+    parts = pieces.where(F.size("ids") > 0).select(*by, F.inline(F.transform(numbers, part)))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "ids")))
+    return parts.groupBy(*by, "block_id").agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids"))
+
+
+def token_windows(blocks: DataFrame, starts: DataFrame, block: int) -> DataFrame:
+    """x = ids [s, s+B) and y shifted by one; every window lies in two neighbouring blocks."""
+    wanted = starts.select("sample_id", "start", F.explode(F.array(F.floor(F.col("start") / block), F.floor(F.col("start") / block) + 1)).alias("block_id"))
+    ordered = F.array_sort(F.collect_list(F.struct("block_id", "ids")))
+    joined = wanted.join(blocks, "block_id").groupBy("sample_id", "start").agg(F.flatten(F.transform(ordered, lambda b: b["ids"])).alias("pair"))
+    first = (F.pmod(F.col("start"), F.lit(block)) + 1).cast("int")
+    return joined.select("sample_id", "start", F.slice("pair", first, F.lit(block)).alias("x"), F.slice("pair", first + 1, F.lit(block)).alias("y"))
+
+
 def maximal_grams(pieces: DataFrame, order: int, by: str | None = "split") -> DataFrame:
     """Counts of the longest gram (at most ``order`` characters) ending at each position.
 
