@@ -201,17 +201,18 @@ def gzip_size_column(level: int):
     return size
 
 
-SKETCH_BITS = 4096
-
-
-@F.arrow_udf(S.BinaryType())
-def parity_sketch(hashes: pa.Array) -> pa.Array:
-    """Bit b says whether an odd number of the hashes falls on b."""
-    out = []
-    for values in hashes:
-        places = values.values.to_numpy(zero_copy_only=False) & (SKETCH_BITS - 1)
-        out.append(np.packbits(np.bincount(places, minlength=SKETCH_BITS) & 1).tobytes())
-    return pa.array(out, type=pa.binary())
+def parity_sketch(bits: int):
+    """Column function array<bigint> -> binary: bit b says whether an odd number of the hashes falls on b."""
+
+    @F.arrow_udf(S.BinaryType())
+    def sketch(hashes: pa.Array) -> pa.Array:
+        out = []
+        for values in hashes:
+            places = values.values.to_numpy(zero_copy_only=False) & (bits - 1)
+            out.append(np.packbits(np.bincount(places, minlength=bits) & 1).tobytes())
+        return pa.array(out, type=pa.binary())
+
+    return sketch
 
 
 @F.arrow_udf(S.IntegerType())

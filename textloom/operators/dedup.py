@@ -204,6 +204,7 @@ def _front_round(edges, hot, sigs, key, cfg):
 # ---- exact similarity joins ------------------------------------------------
 
 MARGIN = 0.01
+SKETCHES = (4096, 32768)  # bits
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
@@ -271,18 +272,20 @@ def jaccard_pairs(sets: DataFrame, key: str = "doc_id", threshold: float = 0.5)
 def verify_jaccard(candidates: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
     """Exact Jaccard of candidate pairs, most of them turned away before strings travel.
 
-    First the sizes alone (they bound the ratio), then 512-byte parity sketches
-    (they bound the symmetric difference from below), then 64-bit hashes of the
+    First the sizes alone (they bound the ratio), then parity sketches of 512
+    and 4,096 bytes (they bound the symmetric difference from below), then 64-bit hashes of the
     shingles: collisions could move that ratio by far less than ``MARGIN``, so
     what it leaves out is certain.  Only the rest compares the strings.
     """
     hashes = F.transform("shingles", lambda g: F.xxhash64(g))
-    held = materialize(sets.select(key, F.size("shingles").alias("n"), parity_sketch(hashes).alias("sketch")), "sketches")
-    sized = _attach(candidates, held.select(key, F.struct("n", "sketch").alias("s")), key, "s")
-    sized = sized.where(F.least("s_i.n", "s_j.n") > threshold * F.greatest("s_i.n", "s_j.n"))
-    apart = F.lit((1 - threshold) / (1 + threshold)) * (F.col("s_i.n") + F.col("s_j.n"))
-    close = materialize(sized.where(sketch_distance("s_i.sketch", "s_j.sketch") <= apart).select("i", "j"), "close")
-    hashed = sets.select(key, hashes.alias("h"))
+    hashed = materialize(sets.select(key, F.size("shingles").alias("n"), hashes.alias("h")), "hashed")
+    close = candidates
+    for bits in SKETCHES:  # the longer sketches see only what the shorter ones leave
+        held = materialize(hashed.select(key, F.struct("n", parity_sketch(bits)("h").alias("sketch")).alias("s")), "sketches")
+        sized = _attach(close, held, key, "s")
+        sized = sized.where(F.least("s_i.n", "s_j.n") > threshold * F.greatest("s_i.n", "s_j.n"))
+        apart = F.lit((1 - threshold) / (1 + threshold)) * (F.col("s_i.n") + F.col("s_j.n"))
+        close = materialize(sized.where(sketch_distance("s_i.sketch", "s_j.sketch") <= apart).select("i", "j"), "close")
     likely = _attach(close, hashed, key, "h").where(jaccard(F.col("h_i"), F.col("h_j")) > threshold - MARGIN).select("i", "j")
     full = _attach(likely, sets, key, "shingles")
     measured = full.select("i", "j", jaccard(F.col("shingles_i"), F.col("shingles_j")).alias("jaccard"))
