@@ -15,7 +15,7 @@ from textloom.session import materialize, scratch_path
 _VOCAB = f"{X.STREAM}, vocab AS (SELECT row_number() OVER (ORDER BY ch) - 1 AS token_id, ch AS token FROM (SELECT DISTINCT ch FROM chars))"
 BLOCK = 64
 MERGES = 500  # fixed value: the size of the vocabulary that is trained by default
-CHECKED = 10   # merges that SQL follows one by one
+CHECKED = 3  # merges that SQL follows one by one
 _models: dict = {}
 
 
