@@ -187,3 +187,34 @@ def test_chains_are_best():
         best = passages.chains(parts)[0]
         total = sum(n for _, _, n in best) - sum(passages.GAP * (y[0] - x[0] - x[2] + y[1] - x[1] - x[2]) for x, y in zip(best, best[1:]))
         assert abs(total - max(score.values())) < 1e-9
+
+
+def test_chain_that_fails_gives_its_parts():
+    """Three passages in a row, with other words between them in the second text."""
+    draw = random.Random(10)
+    parts = [[f"p{n}x{i}" for i in range(100)] for n in range(3)]
+    between = [[f"q{n}x{i}" for i in range(45)] for n in range(2)]
+    a = word_hashes(" ".join(sum(parts, []))).astype("<u4")
+    b = word_hashes(" ".join(parts[0] + between[0] + parts[1] + between[1] + parts[2])).astype("<u4")
+    assert passages.passages(a, b) == [(0, 100, 0, 100, 100), (100, 300, 145, 390, 200)]
+    for _ in range(100):  # against every way to cut a chain
+        chain, gaps, i, j = [], [], 0, 0
+        for _ in range(draw.randrange(1, 8)):
+            n, more, other = draw.randrange(5, 40), draw.randrange(0, 12), draw.randrange(0, 12)
+            chain.append((i, j, n))
+            gaps.append(draw.randrange(min(more, other) + 1))
+            i, j = i + n + more, j + n + other
+        got = passages.passing_parts(chain, gaps[:-1], 50, 0.8)
+
+        def most(x):
+            if x == len(chain):
+                return 0
+            best = most(x + 1)
+            for y in range(x, len(chain)):
+                own, other = chain[y][0] + chain[y][2] - chain[x][0], chain[y][1] + chain[y][2] - chain[x][1]
+                same = sum(c[2] for c in chain[x : y + 1]) + sum(gaps[x:y])
+                if min(own, other) >= 50 and same >= 0.8 * max(own, other):
+                    best = max(best, same + most(y + 1))
+            return best
+
+        assert sum(p[4] for p in got) == most(0)
