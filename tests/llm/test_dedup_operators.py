@@ -218,3 +218,35 @@ def test_chain_that_fails_gives_its_parts():
             return best
 
         assert sum(p[4] for p in got) == most(0)
+
+
+def test_passage_of_common_parts(spark):
+    """Two documents have a whole passage; the first and last document of its seeds have a half of it."""
+    draw = random.Random(11)
+
+    def prose(n):
+        return [f"c{draw.randrange(10**6)}" for _ in range(n)]
+
+    left, right = prose(40), prose(40)
+    middle = {1: left, 9: left, 2: right, 8: right, 4: left + right, 5: left + right}
+    rows = [(i, " ".join(prose(70) + words + prose(30 + i))) for i, words in middle.items()]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {tuple(r) for r in got} == {(4, 70, 150, 5, 70, 150, 80), (5, 70, 150, 4, 70, 150, 80)}
+
+
+def test_every_repeated_run_has_a_row(spark):
+    """Documents of a few common lines: each run of 50 words that two documents have lies in a passage of both."""
+    draw = random.Random(12)
+    lines = [[f"l{n}x{i}" for i in range(20)] for n in range(6)]
+    rows = [(i, sum(draw.choices(lines, k=8), [])) for i in range(60)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    covered = {}
+    for r in passages.repeated_passages(table).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    places = {}
+    for i, words in rows:
+        for at in range(len(words) - 49):
+            places.setdefault(tuple(words[at : at + 50]), set()).add((i, at))
+    repeated = {p for group in places.values() if len({i for i, _ in group}) > 1 for p in group}
+    missed = [(i, at) for i, at in repeated if not covered.get(i, set()) >= set(range(at, at + 50))]
+    assert repeated and not missed
