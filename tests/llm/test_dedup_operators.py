@@ -250,3 +250,49 @@ def test_every_repeated_run_has_a_row(spark):
     repeated = {p for group in places.values() if len({i for i, _ in group}) > 1 for p in group}
     missed = [(i, at) for i, at in repeated if not covered.get(i, set()) >= set(range(at, at + 50))]
     assert repeated and not missed
+
+
+def test_passage_that_stands_often():
+    """9 times in one text and 30 times in the other: every place has a passage of its own or lies in a longer one."""
+    draw = random.Random(13)
+
+    def prose(n):
+        return [f"o{draw.randrange(10**6)}" for _ in range(n)]
+
+    passage = prose(60)
+    a, b = (sum((prose(100) + passage for _ in range(n)), []) for n in (9, 30))
+    wa, wb = (word_hashes(" ".join(w)).astype("<u4") for w in (a, b))
+    got = passages.passages(wa, wb)
+    for n, side in ((9, 0), (30, 2)):
+        assert all(any(p[side] <= 160 * x + 100 and p[side + 1] >= 160 * x + 160 for p in got) for x in range(n))
+
+
+def test_passage_of_lines_in_other_orders():
+    """Lines repeat in other numbers and orders around a passage made of them."""
+    for seed in range(20):
+        draw = random.Random(seed)
+        lines = [[f"k{n}x{i}" for i in range(9)] for n in range(5)]
+        common = sum(draw.choices(lines, k=8), [])
+        a, b = (sum(draw.choices(lines, k=60), []) + common + sum(draw.choices(lines, k=50), []) for _ in range(2))
+        wa, wb = (word_hashes(" ".join(w)).astype("<u4") for w in (a, b))
+        covered = [set(), set()]
+        for start, end, other, other_end, _ in passages.passages(wa, wb):
+            covered[0].update(range(start, end))
+            covered[1].update(range(other, other_end))
+        runs = [{tuple(w[i : i + 50]) for i in range(len(w) - 49)} for w in (a, b)]
+        for own, w in zip(covered, (a, b)):
+            for i in range(len(w) - 49):
+                if tuple(w[i : i + 50]) in runs[0] & runs[1]:
+                    assert own >= set(range(i, i + 50))
+
+
+def test_cover():
+    draw = random.Random(14)
+    for _ in range(300):
+        starts = sorted(draw.sample(range(60), draw.randrange(1, 12)))
+        ends = []
+        for s in starts:
+            ends.append(max([s + 1, *(e + 1 for e in ends[-1:])]) + draw.randrange(12))
+        chosen = passages._cover(starts, ends)
+        assert set().union(*(range(starts[n], ends[n]) for n in chosen)) == set().union(*map(range, starts, ends))
+        assert chosen == sorted(set(chosen))
