@@ -143,6 +143,25 @@ def test_page_structure():
     assert pages.main_text("<nav>menu<p>never closed<article><p>text</article>") == "text"
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<article><p class="ad">Buy<p>Text</p><p>More</p></article>', "Text\nMore"),
+    ('<article><p class="ad">Buy <b>now<div>Text</div></article>', "Text"),
+    ('<article><div><p class="ad">Buy</div>Text</article>', "Text"),
+    ('<article><p class="ad">Buy</div> still</p>Text</article>', "Text"),
+    ('<article><ul><li class="promo">Buy<ul><li>a<li>b</ul>c<li>Text</ul>More</article>', "Text\nMore"),
+    ('<article><ul><li class="promo">Buy</ul>More</article>', "More"),
+    ('<article><dl><dt>One<dd class="ad">Buy<dt>Two</dl>More</article>', "One\nTwo\nMore"),
+    ('<article><table><tr><td class="ad">Buy<table><tr><td>x</table>y<td>Text<tr class="ad"><td>z<td>z<tr><td>More</table>End</article>', "Text\nMore\nEnd"),
+    ('<article class="has-sidebar"><p>Text</p></article>', "Text"),
+    ('<article class="share related"><p>Text</p></article>', "Text"),
+    ('<div class="content share-enabled"><p>Text</p></div>', "Text"),
+    ('<article>Text<div class="ad-container">Buy</div><div id="comments-list"><article class="comment">me</article></div></article>', "Text"),
+    ('<article>Text</article><article class="comment">me</article>', "Text"),
+])
+def test_left_out_elements_end_where_html_ends_them(page, want):
+    assert pages.main_text(page) == want
+
+
 def lcs_size(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
