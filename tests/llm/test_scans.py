@@ -34,6 +34,73 @@ def test_licenses(spark):
     ]
 
 
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+   copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version."""
+
+
+def test_whole_wrapped_licences(spark):
+    wholes = {
+        MIT: "MIT", APACHE: "Apache-2.0", BSD: "BSD-3-Clause,All-Rights-Reserved", BSD[: BSD.index("3. ")]: "BSD-2-Clause,All-Rights-Reserved",
+        GPL.format("", 3): "GPL-3.0-or-later", GPL.format("", 2): "GPL-2.0-or-later", GPL.format("Lesser ", 3): "LGPL-3.0-or-later", GPL.format("Affero ", 3): "AGPL-3.0-or-later",
+    }
+    texts, want = [], []
+    for whole, name in wholes.items():
+        lines = whole.splitlines()
+        forms = [whole, whole.replace("\n", "\r\n"), "\n".join("# " + x for x in lines), "/*\n" + "\n".join(" * " + x for x in lines) + "\n */", "\n".join("// " + x for x in lines)]
+        texts += forms
+        want += [name] * len(forms)
+    texts.append("Read on. This project is licensed under the Apache License, Version 2.0")
+    want.append("Apache-2.0")
+    texts.append("unlicensed under the MIT Licenses")
+    want.append("")
+    assert [r["licenses"] for r in licenses.recognise(frame(spark, texts)).orderBy("doc_id").collect()] == want
+    ids = [r["sentence_ids"] for r in licenses.recognise(frame(spark, [MIT, APACHE, BSD])).orderBy("doc_id").collect()]
+    assert ids == ["Copyright MitGrant MitNotice AsIs", "Apache2Ref Compliance ObtainCopy AsIsBasis", "Copyright AllRights BsdGrant BsdNames"]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

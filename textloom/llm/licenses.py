@@ -1,8 +1,11 @@
 """Licence recognition by sentences, with DataFrame functions alone.
 
 A text is normalised (ASCII letters in lower case, other signs to blanks) and
-cut into sentences.  A known sentence becomes its identifier; a line that
-starts with "copyright" becomes ``Copyright``.  The sequence of identifiers is
+cut into sentences at punctuation and blank lines; single line ends are soft,
+and the signs that lead comment lines are blanks.  A known sentence becomes its
+identifier, wherever in a sentence of the text it stands as whole words; of
+several that start at one word the longest counts.  A sentence that starts with
+"copyright" becomes ``Copyright``, and a line inside one if a sign or year follows.  The sequence of identifiers is
 then matched against ordered rules: an earlier rule takes its identifiers, so
 that a more specific licence is named before a more general one.  Identifiers
 of a rule must follow each other among the known sentences of the text;
@@ -55,6 +58,14 @@ SENTENCES = {
     "all rights reserved": "AllRights",
 }
 
+# The notices of the GNU licences, as they are worded in the licences themselves.
+NOTICES = {
+    f"gnu {name} public license {words} version {version} of the license": f"{identifier}{version}Ref"
+    for name, identifier, versions in (("general", "Gpl", (2, 3)), ("lesser general", "Lgpl", (3,)), ("affero general", "Agpl", (3,)))
+    for version in versions
+    for words in ("as published by the free software foundation either", "as published by the free software foundation")
+}
+
 # Licence names and the sentence identifiers that say so, the more specific first.
 RULES = (
     ("MIT", ("MitGrant", "MitNotice", "AsIs")),
@@ -83,24 +94,25 @@ RULES = (
 )
 
 COPYRIGHT = "Copyright"
-SENTENCE_END = r"[.!?:;]+[ \t]+|[.!?:;]*\r?\n|[.!?:;]+$"
+HARD_END = r"[.!?:;]+[ \t\r]+|[.!?:;]+\n|\n[^a-z0-9\n]*\n|[.!?:;]+$"
 
 
 def normalised_sentences(text: Column) -> Column:
-    """Sentences of a text: lower-case words of ASCII letters and digits with one blank between."""
-    marked = F.regexp_replace(F.lower(text), SENTENCE_END, "\n")
-    plain = F.regexp_replace(marked, r"[^a-z0-9\n]+", " ")
-    return F.split(F.regexp_replace(plain, r" *\n *", "\n"), "\n")
+    """Lower-case words of ASCII letters and digits: a blank between words, a tab at a soft line end, a new line after a sentence."""
+    hard = F.regexp_replace(F.lower(text), HARD_END, "\n\n")
+    soft = F.regexp_replace(hard, r"(?<!\n)\n(?!\n)", "\t")
+    plain = F.regexp_replace(soft, r"[^a-z0-9\n\t]+", " ")
+    return F.regexp_replace(F.regexp_replace(plain, r"[ \t]*\n[ \t\n]*", "\n"), r" *\t[ \t]*", "\t")
 
 
 def sentence_identifiers(text: Column, sentences: Mapping[str, str]) -> Column:
     """Identifiers of the known sentences, in the order of the text."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    named = F.transform(
-        F.transform(normalised_sentences(text), lambda s: F.trim(s)),
-        lambda s: F.when(s.startswith("copyright "), F.lit(COPYRIGHT)).otherwise(F.try_element_at(known, s)),
-    )
-    return F.filter(named, lambda s: s.isNotNull())
+    longest_first = sorted(sentences, key=lambda s: (-len(s), s))
+    phrases = "|".join(s.replace(" ", r"[ \t]") for s in longest_first)
+    pattern = rf"(?<=^|\n) ?copyright(?=[ \t])|(?<=\t)copyright(?= (?:c|by|[0-9]{{4}}) )|(?<![a-z0-9])(?:{phrases})(?![a-z0-9])"
+    found = F.regexp_extract_all(normalised_sentences(text), F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda s: F.when(F.trim(s) == "copyright", F.lit(COPYRIGHT)).otherwise(F.try_element_at(known, F.translate(s, "\t", " "))))
 
 
 def apply_rules(identifiers: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
@@ -120,7 +132,7 @@ def apply_rules(identifiers: Column, rules: Sequence[tuple[str, Sequence[str]]])
     return reduce(lambda s, rule: F.transform(s, lambda x: step(x, rule)), rules, state)[0]["found"]
 
 
-def recognise(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
+def recognise(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES | NOTICES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses) per row.
 
     n_sentences counts the known sentences, sentence_ids lists them in order,
