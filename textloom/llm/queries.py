@@ -17,6 +17,7 @@ from textloom.llm.pages import extract
 from textloom.llm.passages import repeated_passages
 from textloom.llm.quality import classify
 from textloom.llm.simhash import simhash_dedup
+from textloom.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,8 @@ def _(spark, sf):
 @query("op10_html_text")
 def _(spark, sf):
     return extract(read(spark, sf, "pages"))
+
+
+@query("op11_whitening")
+def _(spark, sf):
+    return whiten(read(spark, sf, "embeddings"))
