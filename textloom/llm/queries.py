@@ -17,6 +17,7 @@ from textloom.llm.pages import extract
 from textloom.llm.passages import repeated_passages
 from textloom.llm.quality import classify
 from textloom.llm.simhash import simhash_dedup
+from textloom.llm.variants import spelling_variants
 from textloom.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,8 @@ def _(spark, sf):
 @query("op11_whitening")
 def _(spark, sf):
     return whiten(read(spark, sf, "embeddings"))
+
+
+@query("op13_spelling_variants")
+def _(spark, sf):
+    return spelling_variants(read(spark, sf, "documents"))
