@@ -15,6 +15,7 @@ from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.language import identify
 from textloom.llm.pages import extract
 from textloom.llm.passages import repeated_passages
+from textloom.llm.pii import personal_data
 from textloom.llm.quality import classify
 from textloom.llm.simhash import simhash_dedup
 from textloom.llm.variants import spelling_variants
@@ -99,6 +100,11 @@ def _(spark, sf):
     return whiten(read(spark, sf, "embeddings"))
 
 
+@query("op12_pii")
+def _(spark, sf):
+    return personal_data(read(spark, sf, "documents"))
+
+
 @query("op13_spelling_variants")
 def _(spark, sf):
     return spelling_variants(read(spark, sf, "documents"))
