@@ -12,7 +12,7 @@ from textloom.operators.statistics import document_compression
 
 SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 MESSY = [
-    "<li>seven <em>grey</em> herons</li>", "a\x00b\x07c", "a    b", "a\r\nb\rc", "x\n\n\n\ny", "tail \t \nnext　\nend ",
+    "<li>seven <em>grey</em> herons</li>", "left\x01mid\x0e\x7fright", "wide      gap", "a\r\nb\rc", "x\n\n\n\ny", "tail \t \nnext　\nend ",
     "　 both ends \x85", "a\n \n \nb", "café été", "가가", "Å ngstrom Ω",
     "", " ", "\n\n", "😀 emoji 😀 line", "tab\tand\x1fcontrol\x1c", "plain text only",
     "資料品質決定模型上限:garbage in, garbage out", "“quotes” – dashes — …", "²³¼ ⅷ 一二 ́x",

@@ -190,16 +190,18 @@ def policy_gradient_objective(sequences: DataFrame, beta: float = 0.05) -> DataF
 
 
 def clipped_surrogate(tokens: DataFrame, clip_eps: float = 0.2) -> DataFrame:
-    """Masked clipped surrogate loss and share of clipped tokens; eps <= 0 disables clipping."""
-    ratio, adv, mask = F.col("ratio"), F.col("advantage"), F.col("mask")
-    if clip_eps > 0:
-        lo, hi = 1 - clip_eps, 1 + clip_eps
-        term = F.least(ratio * adv, F.greatest(F.lit(lo), F.least(F.lit(hi), ratio)) * adv)
-        clipped = ((ratio < lo) | (ratio > hi)).cast("double")
-    else:
-        term, clipped = ratio * adv, F.lit(0.0)
-    denom = F.greatest(F.sum(mask), F.lit(1.0))
-    return tokens.agg((-F.sum(term * mask) / denom).alias("loss"), (F.sum(clipped * mask) / denom).alias("clip_frac"))
+    """Masked clipped surrogate loss and share of clipped tokens; eps <= 0 disables clipping.
+
+    The surrogate min(r*A, clip(r)*A) is r*A less what r overshoots its bound
+    in the direction that A rewards; without clipping the bound lies at infinity.
+    """
+    width = clip_eps if clip_eps > 0 else float("inf")
+    over = F.greatest(F.abs(F.col("ratio") - 1) - width, F.lit(0.0))
+    rewarded = F.signum(F.col("ratio") - 1) * F.col("advantage") > 0
+    surrogate = F.col("ratio") * F.col("advantage") - F.when(rewarded, over * F.abs("advantage")).otherwise(0.0)
+    weighed = tokens.select(F.col("mask"), (surrogate * F.col("mask")).alias("gain"), F.when(over > 0, F.col("mask")).otherwise(0.0).alias("outside"))
+    per_token = F.greatest(F.sum("mask"), F.lit(1.0))
+    return weighed.agg((-F.sum("gain") / per_token).alias("loss"), (F.sum("outside") / per_token).alias("clip_frac"))
 
 
 def actor_critic_losses(tokens: DataFrame, sequences: DataFrame, clip_eps: float = 0.2, beta: float = 0.02, value_weight: float = 0.5) -> DataFrame:
