@@ -56,3 +56,14 @@ def test_clusters():
     rows = quality.unit(np.repeat(centres, 30, axis=0) + 0.05 * draw.standard_normal((90, 20)).astype(np.float32))
     found = language.clusters(rows, 3)
     assert ((centres @ found.T).max(axis=1) > 0.98).all()
+
+
+def test_language_learns_from_permitted_rows_only(spark):
+    """Other texts in held-out rows and in rows without a language change no other row's result."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    off = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("lang")))
+    unseen = off | F.col("lang").isNull()
+    other = docs.withColumn("text", F.when(unseen, F.concat(F.lit("zzq xxw "), F.reverse("text"))).otherwise(F.col("text")))
+    learned = lambda d: {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(d).where(~F.col("held_out")).collect() if r["doc_id"] % 7}
+    assert learned(docs) == learned(other)

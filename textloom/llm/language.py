@@ -64,9 +64,9 @@ def clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS) -> dict:
     """Model from (doc_id, text, lang): idf and the centroids, the most frequent language first."""
-    n_rows, seen = document_frequencies(docs.select("doc_id", "text"), letter_terms, DIMS)
-    idf = inverse(n_rows, seen)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    n_rows, seen = document_frequencies(usable.select("doc_id", "text"), letter_terms, DIMS)
+    idf = inverse(n_rows, seen)
     ids, sizes = hash_sample(usable.select("doc_id", "lang"), "lang", per_language)
     picked = stored(ids, "sample").distinct()
     sample = usable.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text")
