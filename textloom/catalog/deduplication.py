@@ -7,6 +7,7 @@ from textloom.catalog import fragments as X
 from textloom.functions import text as T
 from textloom.functions.vectorized import CRC_TABLE, MERSENNE_31, MERSENNE_61, permutations, wide_permutations
 from textloom.operators import dedup as D
+from textloom.operators import links as L
 from textloom.session import materialize
 
 _COLLAPSED = X.sql_collapse("text")
@@ -111,6 +112,20 @@ def _(spark, sf):
     return D.candidate_pairs(_representatives(spark, sf)).select("i", "j")
 
 
+# Every document with its class, so that pairs of classes can be expanded to documents.
+_LINKS = """
+signed AS MATERIALIZED (SELECT doc_id, list(v ORDER BY p) AS s FROM sigs GROUP BY doc_id),
+touched AS (SELECT doc_id, count(*) AS n FROM (SELECT i AS doc_id FROM cand UNION ALL SELECT j FROM cand) GROUP BY doc_id)"""
+
+
+@query("d06_document_links", f"""
+WITH {_SIGS}, {_PAIRS}, {_LINKS}
+SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies, coalesce(n, 0)::BIGINT AS n_links
+FROM signed LEFT JOIN touched USING (doc_id)""")
+def _(spark, sf):
+    return L.document_links(materialize(D.signatures(_documents(spark, sf)), "signatures", heavy=True))
+
+
 _SCAN = """
 edges AS MATERIALIZED (SELECT j, list(i) AS earlier FROM pairs WHERE similarity >= 0.6 GROUP BY j),
 ordered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY j) AS k, j, earlier FROM edges),
@@ -156,6 +171,19 @@ def _(spark, sf):
 _WIDE_SIGS = f"{_WIDE_SETS}, {_sql_signatures(wide_permutations(), MERSENNE_61, 'h')}"
 
 
+@query("d08_document_links", f"""
+WITH {_WIDE_SETS}, {_FIRSTS}, {_EXACT},
+digests AS MATERIALIZED (SELECT d.doc_id, list(g ORDER BY g) FILTER (g IS NOT NULL) AS s FROM docs d LEFT JOIN grams USING (doc_id) GROUP BY d.doc_id),
+classes AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies FROM digests),
+touched AS (SELECT a AS class_id, sum(f.copies) AS n FROM (SELECT i AS a, j AS b FROM exact UNION ALL SELECT j, i FROM exact) JOIN firsts f ON f.doc_id = b GROUP BY a)
+SELECT doc_id, class_id, copies, (coalesce(n, 0) + copies - 1)::BIGINT AS n_links FROM classes LEFT JOIN touched USING (class_id)""")
+def _(spark, sf):
+    docs = _documents(spark, sf)
+    sets = materialize(D.shingle_sets(docs), "shingles", heavy=True)
+    members = materialize(D.set_members(docs), "members")
+    return L.pair_memberships(members, D.jaccard_pairs(sets), D.set_classes(members))
+
+
 @query("d09_lsh_jaccard_pairs", f"""
 WITH {_WIDE_SIGS}, {_PAIRS}, {_FIRSTS}, {_EXACT}, {_TRIED} SELECT i, j, round(jaccard, 6) AS jaccard FROM exact SEMI JOIN tried USING (i, j)""")
 def _(spark, sf):
@@ -176,9 +204,7 @@ SELECT (docs * (docs - 1) // 2)::BIGINT AS all_pairs, candidates::BIGINT AS cand
 def _(spark, sf):
     docs = _documents(spark, sf)
     sets = materialize(D.shingle_sets(docs), "shingles")
-    candidates = materialize(D.wide_candidates(docs, sets), "candidates")
     exact = materialize(D.jaccard_pairs(sets), "exact")
-    found = exact.join(candidates, ["i", "j"], "left_semi")  # what banding proposes and Jaccard confirms
-    return D.dedup_accuracy(sets, candidates, exact, found).select(
+    return L.banded_accuracy(sets, D.wide_signatures(docs, sets), exact).select(
         "all_pairs", "candidates", "exact_pairs", "lsh_pairs", "shared_pairs",
         F.round("candidate_share", 6).alias("candidate_share"), F.round("recall", 6).alias("recall"))

@@ -219,6 +219,16 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     return sets.join(first.select(key, "copies"), key).select(key, "copies", "shingles")
 
 
+def set_members(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
+    """(key, digest): every document with the digest of its shingle set."""
+    return docs.select(F.col(key), F.sha2(F.array_join(F.sort_array(T.untrimmed_shingles(F.col(text), k)), "\n"), 256).alias("digest"))
+
+
+def set_classes(members: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(digest, class_id, copies): the documents of each distinct set, named by the first, as in ``shingle_sets``."""
+    return members.groupBy("digest").agg(F.min(key).alias("class_id"), F.count("*").alias("copies"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - shared

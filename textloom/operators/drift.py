@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.characters import character_summary
 from textloom.operators.stream import placed_units, units
 
 # Fixed values of the drift report.
@@ -29,8 +30,7 @@ def baseline_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
         left = (F.lit(sample) - F.col("start")).cast("int")
         whole = F.col("start") + F.col("n") <= sample
         pieces = placed.select(key, F.when(whole, F.col("unit")).otherwise(F.left("unit", left)).alias("piece"))
-    chars = pieces.select(key, F.posexplode(F.split("piece", "")).alias("at", "ch")).where(F.col("ch") != "")
-    return chars.groupBy("ch").agg(F.count("*").alias("n"), F.min(F.struct(key, "at")).alias("first_at"))
+    return character_summary(pieces, key, "piece")
 
 
 def baseline_buckets(counts: DataFrame, top: int = TOP_BUCKETS) -> DataFrame:

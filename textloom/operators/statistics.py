@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.vectorized import gzip_size_column
+from textloom.operators.characters import character_summary, character_totals
 from textloom.operators.ordinals import values_at
 from textloom.operators.stream import placed_units, units
 
@@ -22,6 +23,8 @@ HEALTH_RULES = (
 
 
 def char_counts(texts: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    if not by:
+        return character_totals(texts, text)
     chars = texts.select(*by, F.explode(F.split(F.col(text), "")).alias("ch")).where(F.col("ch") != "")
     return chars.groupBy(*by, "ch").agg(F.count("*").alias("n"))
 
@@ -83,8 +86,7 @@ def corpus_compression(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def top_characters(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 20) -> DataFrame:
     """Most frequent characters of the stream; ties go to the first one seen."""
-    chars = units(docs, key, text).select(key, F.posexplode(F.split("unit", "")).alias("at", "ch")).where(F.col("ch") != "")
-    seen = chars.groupBy("ch").agg(F.count("*").alias("n"), F.min(F.struct(key, "at")).alias("first_at"))
+    seen = character_summary(units(docs, key, text), key, "unit")
     return seen.orderBy(F.col("n").desc(), "first_at").limit(top).select("ch", "n")
 
 
