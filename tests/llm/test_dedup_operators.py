@@ -129,6 +129,32 @@ def longest_run(a, b):
     return best
 
 
+def family(draw, vocabulary, size):
+    """Texts that each differ from one base in four or five words: pairs of similarity 0.77 to 0.83."""
+    base = draw.choices(vocabulary, k=400)
+    for _ in range(size):
+        words = list(base)
+        for at in draw.sample(range(len(words)), draw.choice((4, 5))):
+            words[at] = draw.choice(vocabulary)
+        yield " ".join(words)
+
+
+@pytest.mark.parametrize("sizes, most", [((20,) * 16, near_texts.GROUP), ((150,) * 2, 40)])
+def test_families_around_the_similarity(spark, sizes, most):
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = list(enumerate(t for size in sizes for t in family(draw, vocabulary, size)))
+    sets = {i: shingles(t) for i, t in rows}
+    alike = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in combinations(sets, 2)}
+    root = smallest_reachable(sets, [p for p, x in alike.items() if x >= 0.8])
+    assert 0.02 < sum(0.75 < x < 0.8 for x in alike.values()) / sum(x > 0.5 for x in alike.values())
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_texts.near_duplicates(table, most=most).collect()}
+    assert sum(got[i] == root[i] for i in root) >= 0.97 * len(root)
+    # no text is joined to one that it does not reach
+    assert all(root[i] == root[c] for i, c in got.items())
+
+
 def test_repeated_passages(spark):
     draw = random.Random(6)
     vocabulary = [f"v{i}" for i in range(2000)]

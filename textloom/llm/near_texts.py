@@ -6,14 +6,22 @@ that blocks of bits can serve, so here the fingerprint has ``4 * 64`` bits and
 the groups come from ``tables`` fixed samples of its bits: as many as leave a
 pair of just the wanted similarity out of every group in at most ``MISS`` of
 cases.  Inside a group the Gray-order index of the SimHash operator finds the
-candidates by the first 64 bits, all bits then rank them, and a minimum
-spanning forest of the candidates leaves the group, so copies cost links in
-proportion to their number.  Each of these links is checked against the true
-Jaccard similarity of the texts' shingle sets.
+candidates by the first 64 bits, and all bits then rank them.
+
+Candidates are checked against the true Jaccard similarity of the texts'
+shingle sets in rounds.  A round takes ``FORESTS`` edge-disjoint spanning
+forests of least distance from each group, over what the links confirmed so
+far connect, so copies cost links in proportion to their number.  A forest
+link may fail the check and hide others that hold; so a group of which
+candidates between different components are left over goes to the next round,
+and the last round takes all of them.  No candidate is lost: each is checked,
+or its ends are connected already.
 
 Groups of over ``GROUP`` fingerprints are dealt again by further bits; what is
 still too large is cut into parts by hash, each with the group's smallest
 member, which the members of a group that agrees on so many bits resemble.
+Where the first round leaves such a group in several components, every two of
+its parts meet in the second.
 """
 
 from __future__ import annotations
@@ -39,6 +47,7 @@ MISS = 0.02
 MARGIN = 0.1
 GROUP = 1024
 REDEALS, MORE_BITS = 8, 10
+FORESTS = (1, 8, 64, None)
 BROADCAST_IDS = 2_000_000
 _FRONT = 1 << 20
 _FIRST_SD = 4.0
@@ -91,8 +100,11 @@ def _oversize(dealt: DataFrame, most: int, label: str) -> DataFrame:
     return stored(sizes.where(F.col("n") > most), label)
 
 
-def deal(distinct: DataFrame, similarity: float, most: int) -> DataFrame:
-    """(key, rep, w0..w3): every fingerprint in each of its groups, none of them over about ``most``."""
+def deal(distinct: DataFrame, similarity: float, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(key, rep, w0..w3): every fingerprint in each of its groups, none of them over about ``most``.
+
+    Also (dense, part, parts, rep, w0..w3), the members of groups that are cut into parts, if there are any.
+    """
     n = max(2, distinct.count())
     differ = share_of_bits(similarity)
     bits = max(12, round(math.log2(n)) - 4)
@@ -100,16 +112,34 @@ def deal(distinct: DataFrame, similarity: float, most: int) -> DataFrame:
     dealt = distinct.withColumn("key", F.explode(_keys(bit_samples(tables, bits, 1)))).select("key", "rep", *WORDS)
     large = _oversize(dealt, most, "large")
     if large.isEmpty():
-        return dealt
+        return dealt, None
     cold = dealt.join(large, "key", "left_anti")
     hot = dealt.join(large.select("key"), "key", "left_semi")
     finer = hot.withColumn("key", F.explode(_keys(bit_samples(REDEALS, MORE_BITS, 2), F.col("key"))))
     dense = _oversize(finer, most, "dense").withColumn("parts", F.ceil(2 * F.col("n") / most).cast("int")).drop("n")
     heads = stored(finer.join(dense, "key").groupBy("key", "parts").agg(F.min(F.struct("rep", *WORDS)).alias("head")), "heads")
     part = F.pmod(F.xxhash64("key", "rep"), F.col("parts")).cast("int")
-    members = finer.join(dense, "key").withColumn("part", part).select(F.xxhash64("key", "part").alias("key"), "rep", *WORDS)
+    cut = stored(finer.join(dense, "key").select(F.col("key").alias("dense"), part.alias("part"), "parts", "rep", *WORDS), "parts")
+    members = cut.select(F.xxhash64("dense", "part").alias("key"), "rep", *WORDS)
     heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.xxhash64("key", "part").alias("key"), "head.*")
-    return cold.unionByName(finer.join(dense, "key", "left_anti")).unionByName(members).unionByName(heads)
+    return cold.unionByName(finer.join(dense, "key", "left_anti")).unionByName(members).unionByName(heads), cut
+
+
+def blocks(cut: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, w0..w3): every two parts of a dense group that is in several components so far."""
+    named = stored(_labelled(cut, roots), "labelled")
+    ends = named.groupBy("dense").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = stored(ends.where("low < high").select("dense"), "split")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = named.join(open_, "dense", "left_semi").select("dense", "part", other.alias("other"), "rep", *WORDS)
+    return met.select(F.xxhash64("dense", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "rep", *WORDS)
+
+
+def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows with ``label``: the component of ``rep`` so far."""
+    if roots is None:
+        return rows.withColumn("label", F.col("rep"))
+    return rows.join(roots, rows["rep"] == roots["node"], "left").withColumn("label", F.coalesce("root", "rep")).drop("node", "root")
 
 
 def spanning(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -131,32 +161,56 @@ def spanning(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.
         label = forest(size, np.r_[np.arange(size), a[picked]], np.r_[label, b[picked]])
 
 
-def candidate_links(codes: np.ndarray, group: np.ndarray, first: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs inside groups: at most ``first`` of the first 64 bits differ, and ``most`` of all.
+def layers(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, forests: int) -> np.ndarray:
+    """Which of the links a-b are in one of ``forests`` spanning forests, each of least weight among what those before it leave."""
+    keep = np.zeros(a.size, dtype=bool)
+    for _ in range(forests):
+        rest = np.flatnonzero(~keep)
+        if not rest.size:
+            break
+        keep[rest[spanning(size, a[rest], b[rest], weight[rest])]] = True
+    return keep
+
+
+def candidate_links(
+    codes: np.ndarray, group: np.ndarray, label: np.ndarray, first: int, most: int, forests: int | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different labels inside groups: at most ``first`` of the first 64 bits differ, and ``most`` of all.
 
-    ``codes`` has a row of words for each member; places in it are returned.
+    ``codes`` has a row of words for each member; places in it are returned, and
+    the groups of which pairs are left over.  Of a group's pairs those of
+    ``forests`` spanning forests over its labels are taken; None takes all.
     """
     order = np.lexsort((gray_rank(codes[:, 0]), group))
     codes, group = codes[order], group[order]
+    node = np.unique(np.stack([group, label[order]], axis=1), axis=0, return_inverse=True)[1].ravel()
     lead = np.ascontiguousarray(codes[:, 0])
     levels = build_index(lead, group)
     roots, weight = root_nodes(levels, group)
-    a = b = np.empty(0, dtype=np.int64)
-    dist = np.empty(0, dtype=np.int64)
+    a = b = dist = np.empty(0, dtype=np.int64)
+    over = [group[:0]]
+
+    def thinned() -> np.ndarray:
+        keep = layers(lead.size, node[a], node[b], dist, forests)
+        over.append(np.unique(group[a[~keep]]))
+        return keep
+
     for start, end in cuts(weight, _FRONT):
         x, y = search(levels, lead, np.arange(start, end), roots[start:end], first)
         d = np.bitwise_count(codes[x] ^ codes[y]).sum(axis=1, dtype=np.int64)
-        near = d <= most
+        near = (d <= most) & (node[x] != node[y])
         a, b, dist = np.r_[a, x[near]], np.r_[b, y[near]], np.r_[dist, d[near]]
-        if a.size > _FRONT:
-            keep = spanning(lead.size, a, b, dist)
+        if forests is not None and a.size > _FRONT:
+            keep = thinned()
             a, b, dist = a[keep], b[keep], dist[keep]
-    keep = spanning(lead.size, a, b, dist)
-    return order[a[keep]], order[b[keep]]
+    if forests is not None:
+        keep = thinned()
+        a, b = a[keep], b[keep]
+    return order[a], order[b], np.unique(np.concatenate(over))
 
 
-def candidates(dealt: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between representatives that their fingerprints take for similar."""
+def candidates(dealt: DataFrame, similarity: float, roots: DataFrame | None = None, forests: int | None = 1) -> DataFrame:
+    """(a, b, key): links between representatives that their fingerprints take for similar, and the keys of groups with some left over."""
     loose = share_of_bits(max(0.0, similarity - MARGIN))
     most = math.ceil(BITS * loose)
     first = math.ceil(64 * loose + _FIRST_SD * math.sqrt(64 * loose * (1 - loose)))
@@ -166,23 +220,51 @@ def candidates(dealt: DataFrame, similarity: float) -> DataFrame:
         if not rows:
             return
         table = pa.Table.from_batches(rows)
-        key, rep = table.column("key").to_numpy(), table.column("rep").to_numpy()
+        key, rep, label = (table.column(c).to_numpy() for c in ("key", "rep", "label"))
         codes = np.stack([table.column(w).to_numpy().view(np.uint64) for w in WORDS], axis=1)
-        _, group = np.unique(key, return_inverse=True)
+        keys, group = np.unique(key, return_inverse=True)
         several = np.bincount(group)[group] > 1
         if several.any():
             rep = rep[several]
-            a, b = candidate_links(codes[several], group[several], first, most)
+            a, b, over = candidate_links(codes[several], group[several], label[several], first, most, forests)
             pairs = np.unique(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return dealt.repartition(F.col("key")).mapInArrow(run, "a bigint, b bigint").distinct()
+            none = np.full(over.size, None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[pairs[:, n].astype(object), none], pa.int64()) for n in (0, 1)]
+                + [pa.array(np.r_[np.full(pairs.shape[0], None), keys[over].astype(object)], pa.int64())],
+                names=["a", "b", "key"],
+            )
+
+    return _labelled(dealt, roots).repartition(F.col("key")).mapInArrow(run, "a bigint, b bigint, key bigint").distinct()
+
+
+def similar_links(dealt: DataFrame, cut: DataFrame | None, docs: DataFrame, width: int, similarity: float) -> DataFrame | None:
+    """(node, root) over the links that hold, from rounds of ``FORESTS``; None if there are none."""
+    checked = held = roots = None
+    for turn, forests in enumerate(FORESTS):
+        found = stored(candidates(dealt, similarity, roots, forests), "candidates")
+        fresh = found.where("key IS NULL").select("a", "b")
+        if checked is not None:
+            fresh = fresh.join(checked, ["a", "b"], "left_anti")
+        fresh = stored(fresh, "links")
+        if not fresh.isEmpty():
+            checked = fresh if checked is None else checked.unionByName(fresh)
+            true = stored(confirmed(fresh, docs, width, similarity), "confirmed")
+            if not true.isEmpty():
+                held = true if held is None else held.unionByName(true)
+                roots = stored(components(held), "roots")
+        left = stored(found.where("key IS NOT NULL").select("key").distinct(), "open")
+        again = dealt.join(F.broadcast(left) if left.count() <= BROADCAST_IDS else left, "key", "left_semi")
+        if turn == 0 and cut is not None and roots is not None:
+            again = again.unionByName(blocks(cut, roots))
+        elif left.isEmpty():
+            break
+        dealt = again
+    return roots
 
 
 def confirmed(links: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The links whose texts' shingle sets have the wanted Jaccard similarity."""
-    links = stored(links, "links")
     ids = stored(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
@@ -215,12 +297,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     no shingle and form one component.  A null doc_id never represents others;
     rows with one are their own component (null) unless their fingerprint
     equals another row's.  Repeated rows each get a row, an empty table gives
-    an empty result, further columns are ignored.
+    an empty result, further columns are ignored.  Texts of any length are read
+    whole; a task holds a few MB of them at a time and the shingle sets of one.
     """
     own = texts(docs)
     prints = stored(wide_prints(own, width), "prints")
     distinct = stored(prints.groupBy(*WORDS).agg(F.min("doc_id").alias("rep")), "distinct")
-    links = candidates(deal(distinct.where("rep IS NOT NULL"), similarity, most), similarity)
-    roots = stored(components(confirmed(links, own, width, similarity)), "roots")
-    named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select(*WORDS, F.coalesce("root", "rep").alias("component_id"))
+    roots = similar_links(*deal(distinct.where("rep IS NOT NULL"), similarity, most), own, width, similarity)
+    named = _labelled(distinct, roots).select(*WORDS, F.col("label").alias("component_id"))
     return prints.join(stored(named, "named"), list(WORDS)).select("doc_id", "component_id")
