@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import table
 from oracles import bpe, merge_ids
-from textloom.functions.coding import count_windows, merge_column, merge_pair
+from textloom.functions.coding import MergeRanks, count_windows, merge_column, merge_pair
 from textloom.operators import bpe as B
 from textloom.operators import stream as ST
 from textloom.operators import tokens as K
@@ -36,6 +36,22 @@ def test_merge_pair_random_runs():
             assert merge_pair(np.array(ids, dtype=np.int32), *pair, 9).tolist() == merge_ids(ids, pair, 9)
 
 
+def test_ranked_merges_equal_one_merge_at_a_time():
+    draw = np.random.default_rng(6)
+    for trial in range(300):
+        base = int(draw.integers(1, 5))
+        merges = []
+        for step in range(int(draw.integers(0, 30))):
+            left, right = draw.integers(0, base + step, size=2).tolist()
+            merges.append((left, right, base + step))
+        ids = draw.integers(-1 if trial % 3 else 0, base, size=int(draw.integers(0, 200))).astype(np.int32)
+        want = ids
+        for step, merge in enumerate(merges):
+            if merge[:2] not in [m[:2] for m in merges[:step]]:
+                want = merge_pair(want, *merge)
+        assert MergeRanks(merges).apply(ids).tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("order", [1, 2, 4])
 def test_count_windows(order):
     texts = ["abcabc", "", "ab", "日本語日本語", "😀😀😀"]

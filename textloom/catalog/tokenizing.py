@@ -229,22 +229,14 @@ def _(spark, sf):
     return K.round_trip(_pieces(spark, sf), K.stream_vocabulary(docs)).drop("pieces")
 
 
-# The subword stream: ids of the first CHECKED merges, through split, pack and windows.
-_SUBWORDS = f"""{_sql_merges(CHECKED)},
-base AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(body, '')) AS ch FROM b0)),
-ids AS MATERIALIZED (SELECT pos, CASE WHEN unicode(c) > {0xE000} AND unicode(c) <= {0xE000 + CHECKED} THEN (SELECT count(*) FROM base) + unicode(c) - {0xE001} ELSE base.id END AS id
-  FROM (SELECT unnest(string_split(body, '')) AS c, generate_subscripts(string_split(body, ''), 1) - 1 AS pos FROM b{CHECKED}) LEFT JOIN base ON ch = c),
-sizes AS (SELECT total, greatest(1, floor(total * 0.1))::BIGINT AS held FROM (SELECT count(*) AS total FROM ids)),
-split_ids AS MATERIALIZED (SELECT *, pos - min(pos) OVER (PARTITION BY split) AS place FROM (
-  SELECT pos, id, CASE WHEN pos < total - 2 * held THEN 'train' WHEN pos < total - held THEN 'val' ELSE 'test' END AS split FROM ids, sizes))"""
+# The subword stream: ids of the whole vocabulary, through split, pack and windows.
 
 
 def _subwords(spark, sf):
-    """Token rows of the stream after the first merges, placed."""
-    key = (spark.sparkContext.applicationId, sf, "first")
+    """Token rows of the stream after all merges, placed."""
+    key = (spark.sparkContext.applicationId, sf, "placed")
     if key not in _models:
-        model = B.train_bpe(_documents(spark, sf), CHECKED)
-        _models[key] = materialize(ST.placed_tokens(model.tokens, "chunk"), "subwords")
+        _models[key] = materialize(ST.placed_tokens(_model(spark, sf).tokens, "chunk"), "subwords")
     return _models[key]
 
 
@@ -252,36 +244,42 @@ def _sums(ids, name):
     return F.aggregate(F.transform(ids, lambda v, i: v.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, v: a + v).alias(name)
 
 
-@query("f10_subword_splits", f"""
-WITH {_SUBWORDS} SELECT split, count(*)::BIGINT AS tokens, sum(id)::BIGINT AS id_sum, sum(id * (place % 1000))::BIGINT AS placed_sum FROM split_ids GROUP BY split""")
-def _(spark, sf):
-    rows = ST.token_splits(_subwords(spark, sf)).select("split", F.posexplode("ids").alias("i", "id"), "at")
+def split_sums(placed):
+    rows = ST.token_splits(placed).select("split", F.posexplode("ids").alias("i", "id"), "at")
     place = (F.col("at") + F.col("i")) % 1000
     return rows.groupBy("split").agg(F.count("*").alias("tokens"), F.sum("id").cast("bigint").alias("id_sum"), F.sum(F.col("id") * place).cast("bigint").alias("placed_sum"))
 
 
-@query("a06_subword_blocks", f"""
-WITH {_SUBWORDS} SELECT split, (place // {BLOCK})::BIGINT AS block_id, count(*)::BIGINT AS n_tokens, sum(id * (place % {BLOCK} + 1))::BIGINT AS placed_sum FROM split_ids GROUP BY ALL""")
-def _(spark, sf):
+def block_sums(spark, placed, vocabulary):
     from textloom.sources.writers import write_token_blocks
 
     path = scratch_path(spark, "packed-subwords")
-    write_token_blocks(ST.token_blocks(ST.token_splits(_subwords(spark, sf)), BLOCK), path, 1000)
+    write_token_blocks(ST.token_blocks(ST.token_splits(placed), BLOCK), path, vocabulary)
     blocks = spark.read.parquet(path)
     return blocks.select(F.col("split").cast("string").alias("split"), "block_id", F.size("ids").cast("bigint").alias("n_tokens"), _sums(F.col("ids"), "placed_sum"))
 
 
-@query("f11_subword_windows", f"""
-WITH {_SUBWORDS}, starts AS (SELECT i AS sample_id, ('0x' || left(sha1('windows:' || i), 12))::BIGINT % (total - {BLOCK}) AS start FROM range(0, 500) r(i), sizes)
-SELECT sample_id, start, sum(id * (pos - start + 1)) FILTER (pos < start + {BLOCK})::BIGINT AS x_sum, sum(id * (pos - start)) FILTER (pos > start)::BIGINT AS y_sum
-FROM starts JOIN ids ON pos BETWEEN start AND start + {BLOCK} GROUP BY ALL""")
-def _(spark, sf):
-    placed = _subwords(spark, sf)
+def window_sums(spark, placed):
     starts = materialize(K.window_starts(spark, placed.agg(F.sum("n")).scalar(), 500, BLOCK), "starts")
     windows = ST.token_windows(ST.token_blocks(placed, BLOCK, by=(), at="start"), starts, BLOCK)
     return windows.select("sample_id", "start", _sums(F.col("x"), "x_sum"), _sums(F.col("y"), "y_sum"))
 
 
+@query("f10_subword_splits")
+def _(spark, sf):
+    return split_sums(_subwords(spark, sf))
+
+
+@query("a06_subword_blocks")
+def _(spark, sf):
+    return block_sums(spark, _subwords(spark, sf), len(_model(spark, sf).vocab))
+
+
+@query("f11_subword_windows")
+def _(spark, sf):
+    return window_sums(spark, _subwords(spark, sf))
+
+
 @query("f13_vocabulary_coverage", """
 WITH v AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE lang = 'en'),
 l AS (SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY lang, ch)

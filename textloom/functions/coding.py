@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -44,6 +45,72 @@ def merge_pair(ids: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
     return out[keep]
 
 
+class MergeRanks:
+    """Merges by the rank in which they were learned, applied to a whole stream at once.
+
+    The stream is a linked list of tokens.  Each place waits under the rank of
+    the pair that starts there, and ranks are served in order; a merge makes new
+    pairs at its own and the place before it alone, which wait in turn.  A pair
+    with a merged token was learned after it, so no rank comes back.  The cost
+    follows the length of the stream and the merges done in it, not the number
+    of merges known.
+    """
+
+    def __init__(self, merges: Sequence[tuple[int, int, int]]):
+        rules = np.array([tuple(m) for m in merges], dtype=np.int64).reshape(-1, 3)
+        # of a pair that is there twice the first rank counts
+        self.pairs, self.rank = np.unique((rules[:, 0] << 32) | rules[:, 1], return_index=True)
+        self.left, self.right, self.new = rules.T
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where there is none."""
+        wanted = (left.astype(np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), self.pairs.size - 1)
+        return np.where((self.pairs[at] == wanted) & (left >= 0) & (right >= 0), self.rank[at], -1)
+
+    def apply(self, ids: np.ndarray) -> np.ndarray:
+        if ids.size < 2 or not self.pairs.size:
+            return ids
+        ids = np.append(ids, BREAK).astype(np.int32)  # the last place ends every stream
+        end = ids.size - 1
+        after, before = np.arange(1, ids.size + 1), np.arange(-1, ids.size - 1)
+        alive = np.ones(ids.size, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            rank = self.ranks(ids[places], ids[after[places]])
+            places, rank = places[rank >= 0], rank[rank >= 0]
+            by_rank = np.argsort(rank, kind="stable")
+            found, first = np.unique(rank[by_rank], return_index=True)
+            for r, part in zip(found.tolist(), np.split(places[by_rank], first[1:])):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(part)
+
+        wait(np.arange(end))
+        while order:
+            r = heapq.heappop(order)
+            left, right, new = self.left[r], self.right[r], self.new[r]
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (ids[at] == left)]
+            at = at[ids[after[at]] == right]
+            if left == right and at.size:
+                # in a run of equal tokens every second place starts a merge
+                fresh = np.r_[True, after[at[:-1]] != at[1:]]
+                place = np.arange(at.size)
+                at = at[(place - place[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
+            gone = after[at]
+            ids[at] = new
+            alive[gone] = False
+            after[at] = after[gone]
+            before[after[at]] = at
+            near = np.r_[at, before[at]]
+            wait(np.unique(near[near >= 0]))
+        return ids[:end][alive[:end]]
+
+
 def _as_lists(flat: np.ndarray) -> pa.Array:
     """Cut a BREAK-terminated stream back into one list per text."""
     stops = np.flatnonzero(flat == BREAK)
@@ -59,7 +126,7 @@ def encode_column(chars: Sequence[str], merges: Sequence[tuple[int, int, int]] =
     Unicode and ``merges`` by the vocabulary.
     """
     table = lookup_table(chars)
-    rules = [tuple(m) for m in merges]
+    rules = MergeRanks(merges)
 
     @F.arrow_udf(S.ArrayType(S.IntegerType()))
     def encode(values: pa.Array) -> pa.Array:
@@ -71,9 +138,7 @@ def encode_column(chars: Sequence[str], merges: Sequence[tuple[int, int, int]] =
                 raise ValueError(f"character not in vocabulary: {unknown!r}")
             pieces += [ids[ids != BREAK], np.array([BREAK], dtype=np.int32)]
         flat = np.concatenate(pieces) if pieces else np.empty(0, dtype=np.int32)
-        for left, right, new in rules:
-            flat = merge_pair(flat, left, right, new)
-        return _as_lists(flat)
+        return _as_lists(rules.apply(flat))
 
     return encode
 
