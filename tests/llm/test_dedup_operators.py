@@ -215,6 +215,55 @@ def test_chains_are_best():
         assert abs(total - max(score.values())) < 1e-9
 
 
+def test_segments_grow_along_their_diagonals():
+    """Against extending each segment word by word."""
+    draw = random.Random(12)
+    for _ in range(150):
+        a, b = (np.array(draw.choices(range(draw.choice([3, 30])), k=draw.randrange(8, 90)), dtype="<u4") for _ in range(2))
+        if draw.random() < 0.7:
+            b = np.r_[b[:5], np.where([draw.random() < 0.8 for _ in a], a, 99), b[5:]].astype("<u4")
+        parts = passages.segments(*passages.matches(passages.kmers(a), passages.kmers(b)))
+        held = {(i + t, j + t) for i, j, n in parts for t in range(n)}
+        starts, ends = {(i, j) for i, j, _ in parts}, {(i + n, j + n) for i, j, n in parts}
+        expected = set(held)
+        for i, j, n in parts:
+            for x, y, step, stops in ((i + n, j + n, 1, starts), (i - 1, j - 1, -1, {(x - 1, y - 1) for x, y in ends})):
+                score, best, taken, best_taken = 0.0, 0.0, [], []
+                while 0 <= x < a.size and 0 <= y < b.size and (x, y) not in stops and score > best - passages.DROP:
+                    taken.append((x, y))
+                    score += 1 if a[x] == b[y] else -2 * passages.GAP
+                    if score > best:
+                        best, best_taken = score, list(taken)
+                    x, y = x + step, y + step
+                if (x, y) in stops and score > best - passages.DROP:
+                    best_taken = taken
+                expected |= {(x, y) for x, y in best_taken if a[x] == b[y]}
+        got = passages.grown(parts, a, b)
+        assert {(i + t, j + t) for i, j, n in got for t in range(n)} == expected
+        assert got == sorted(got) and sum(n for _, _, n in got) == len(expected)
+        assert not any((i + n, j + n) in expected for i, j, n in got)  # whole runs
+
+
+def test_replaced_words_anywhere():
+    """Passages of which random words are replaced: 90 % equal from 60 words, 80 % from 100 words, seeds included."""
+    rng = np.random.default_rng(13)
+    for length, share in ((60, 0.9), (100, 0.8)):
+        found, clean, tries = 0, 0, 150
+        for _ in range(tries):
+            a, b, own = (rng.integers(1, 5000, n).astype("<u4") for n in (500, 500, length))
+            other = own.copy()
+            other[rng.choice(length, round(length * (1 - share)), replace=False)] += 5000
+            x, y = np.r_[a[:200], own, a[200:]], np.r_[b[:300], other, b[300:]]
+            seeds = np.intersect1d(*(passages.minimizers(passages.kmers(t)) for t in (x, y)))
+            got = passages.passages(x, y)
+            found += seeds.size >= passages.SEEDS and len(got) == 1
+            for start, end, other_start, other_end, same in got:
+                assert 190 <= start and end <= 210 + length and start - 200 == other_start - 300 and end - start == other_end - other_start
+                assert same == (x[start:end] == y[other_start:other_end]).sum() >= 0.8 * (end - start)
+            clean += not passages.passages(a, b)
+        assert found >= 0.9 * tries and clean == tries
+
+
 def test_chain_that_fails_gives_its_parts():
     """Three passages in a row, with other words between them in the second text."""
     draw = random.Random(10)
