@@ -79,3 +79,16 @@ def test_restarted_streams_resume(spark, tmp_path):
         live = K.windowed_quantile(run(histogram, "quantile"), 0.95, ["endpoint"])
         whole = K.windowed_quantile(histogram(df.where(F.col("part") <= part)), 0.95, ["endpoint"])
         assert sorted(map(str, live.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_predictions_are_never_broadcast(spark, tmp_path):
+    from textloom.catalog.serving import predictions
+
+    turns = [(c, t, "user" if t == 0 else "assistant", "abababab" if t == 0 else "abcd" * (c + 1)) for c in range(3) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").toPandas().to_parquet(f"{tmp_path}/conversations.parquet")
+    rows = predictions(spark, str(tmp_path))
+    assert "BuildLeft" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, rows.where("request_id = 1").select("model", "pos", "pred").collect()))
+    assert got == [("candidate", n, p) for n, p in enumerate("bcda")] + [("production", n, p) for n, p in enumerate("bada")]
+    agreed = {r["request_id"]: (r["positions"], r["agreement"]) for r in K.shadow_agreement(rows).collect()}
+    assert agreed == {1: (4, 0.75), 1001: (8, 0.75), 2001: (12, 0.75)}

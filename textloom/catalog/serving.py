@@ -13,6 +13,7 @@ from textloom.session import materialize
 from textloom.streaming import serving as STREAM
 
 _MINUTE = "date_trunc('minute', ts)"
+TASK_REQUESTS = 20_000
 
 
 def _requests(spark, sf):
@@ -141,9 +142,16 @@ def predictions(spark, sf):
         best = F.min_by(F.right("g", F.lit(1)), F.struct(-F.col("n"), F.right("g", F.lit(1))))
         return grams.groupBy(F.left("g", F.lit(1)).alias("prev")).agg(best.alias("pred"))
 
-    positions = X.exchanges(turns).select("pair_id", F.posexplode(F.split("response", "")).alias("pos", "prev"))
-    prev = lambda table, model: positions.join(table, "prev").select(F.col("pair_id").alias("request_id"), "pos", F.lit(model).alias("model"), "pred")
-    return prev(followers(turns), "production").unionByName(prev(followers(turns.where(F.col("role") == "assistant")), "candidate"))
+    # Spark takes the positions for as small as the texts that they come from: the tables are broadcast, one row per character.
+    best = followers(turns).withColumnRenamed("pred", "production")
+    other = followers(turns.where(F.col("role") == "assistant")).withColumnRenamed("pred", "candidate")
+    # All positions of a request are made in one task, and compared there.
+    asked = X.exchanges(turns)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, asked.count() // TASK_REQUESTS)
+    positions = asked.repartition(tasks, "pair_id").select("pair_id", F.posexplode(F.split("response", "")).alias("pos", "prev"))
+    both = positions.join(F.broadcast(best), "prev", "left").join(F.broadcast(other), "prev", "left")
+    known = F.filter(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in ("production", "candidate")]), lambda m: m["pred"].isNotNull())
+    return both.select(F.col("pair_id").alias("request_id"), "pos", F.inline(known))
 
 
 def _sql_followers(where: str) -> str:
