@@ -81,6 +81,18 @@ def test_restarted_streams_resume(spark, tmp_path):
         assert sorted(map(str, live.collect())) == sorted(map(str, whole.collect()))
 
 
+def test_tables_in_folders_are_streamed(spark, tmp_path):
+    prompts = spark.createDataFrame([(0, "abc"), (1, "xyz")], "part int, prompt string")
+    folder = tmp_path / "prompts.parquet"
+    folder.mkdir()
+    write_parts(prompts, folder, "part", range(2), "part")
+    stream = STREAM.file_stream(spark, str(tmp_path), "prompts", prompts.drop("part").schema, 1)
+    assert stream.isStreaming
+    base = D.baseline_counts(table(spark, ["abc abc " * 40]))
+    reports = STREAM.live_drift(stream, "prompt", D.baseline_buckets(base), base).orderBy("requests").collect()
+    assert [r["requests"] for r in reports] == [1, 2]
+
+
 def test_predictions_are_never_broadcast(spark, tmp_path):
     from textloom.catalog.serving import predictions
 

@@ -20,9 +20,9 @@ LATENESS = "10 minutes"
 
 
 def file_stream(spark: SparkSession, folder: str, table: str, schema: S.StructType, files_per_batch: int = 1000) -> DataFrame:
-    """A growing folder of Parquet files as a stream; a backlog is read in bounded batches."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """The Parquet files of a table in a growing folder as a stream, or those in its folders; a backlog is read in bounded batches."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder.rstrip('/')}/{table}*.parquet")
 
 
 def with_event_time(stream: DataFrame, ts: str = "ts", lateness: str | None = LATENESS) -> DataFrame:
