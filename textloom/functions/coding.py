@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -14,6 +15,7 @@ from pyspark.sql import types as S
 from textloom.functions.vectorized import code_points
 
 BREAK = -1  # sits between two texts of a batch so that no pair spans them
+SLICE_CHARS = 1 << 20  # characters or tokens worked on at a time
 
 
 def lookup_table(chars: Sequence[str]) -> np.ndarray:
@@ -30,7 +32,8 @@ def look_up(table: np.ndarray, text: str) -> np.ndarray:
 
 def merge_pair(ids: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
     """Replace the pair everywhere, left to right, without overlaps."""
-    hit = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
+    hit = np.flatnonzero(ids[:-1] == left)
+    hit = hit[ids[hit + 1] == right]
     if hit.size == 0:
         return ids
     if left == right:
@@ -118,6 +121,26 @@ def _as_lists(flat: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[flat != BREAK].astype(np.int32)))
 
 
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """[first, end) of consecutive rows of about ``SLICE_CHARS`` in all, one row at least."""
+    ends = np.cumsum(sizes)
+    first, done = 0, 0
+    while first < sizes.size:
+        end = max(first + 1, int(np.searchsorted(ends, done + SLICE_CHARS, side="right")))
+        yield first, end
+        first, done = end, int(ends[end - 1])
+
+
+def _joined(parts: list[pa.Array]) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+
+def _flat_ids(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the lists in one array, and where each list ends there; null has none."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(), np.cumsum(sizes, dtype=np.int64)
+
+
 def encode_column(chars: Sequence[str], merges: Sequence[tuple[int, int, int]] = (), strict: bool = True):
     """Column function text -> array<int>.
 
@@ -130,15 +153,18 @@ def encode_column(chars: Sequence[str], merges: Sequence[tuple[int, int, int]] =
 
     @F.arrow_udf(S.ArrayType(S.IntegerType()))
     def encode(values: pa.Array) -> pa.Array:
+        sizes = pc.utf8_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+        return _joined([coded(values[first:end].to_pylist()) for first, end in _slices(sizes)])
+
+    def coded(texts: list[str | None]) -> pa.Array:
         pieces = []
-        for value in values.to_pylist():
+        for value in texts:
             ids = look_up(table, value or "")
             if strict and (ids == BREAK).any():
                 unknown = (value or "")[int(np.argmax(ids == BREAK))]
                 raise ValueError(f"character not in vocabulary: {unknown!r}")
             pieces += [ids[ids != BREAK], np.array([BREAK], dtype=np.int32)]
-        flat = np.concatenate(pieces) if pieces else np.empty(0, dtype=np.int32)
-        return _as_lists(rules.apply(flat))
+        return _as_lists(rules.apply(np.concatenate(pieces)))
 
     return encode
 
@@ -148,11 +174,12 @@ def merge_column(left: int, right: int, new: int):
 
     @F.arrow_udf(S.ArrayType(S.IntegerType()))
     def merge(values: pa.Array) -> pa.Array:
-        pieces = []
-        for ids in values.to_pylist():
-            pieces += [np.array(ids or [], dtype=np.int32), np.array([BREAK], dtype=np.int32)]
-        flat = np.concatenate(pieces) if pieces else np.empty(0, dtype=np.int32)
-        return _as_lists(merge_pair(flat, left, right, new))
+        flat, ends = _flat_ids(values)
+        starts, out = np.append(0, ends), []
+        for first, end in _slices(np.diff(starts)):
+            ids = np.insert(flat[starts[first] : starts[end]].astype(np.int32), ends[first:end] - starts[first], BREAK)
+            out.append(_as_lists(merge_pair(ids, left, right, new)))
+        return _joined(out)
 
     return merge
 
@@ -163,8 +190,10 @@ def decode_column(tokens: Sequence[str]):
 
     @F.arrow_udf(S.StringType())
     def decode(values: pa.Array) -> pa.Array:
+        flat, ends = _flat_ids(values)
+        known = values.is_valid().to_pylist()
         return pa.array(
-            [None if ids is None else "".join(table[np.array(ids, dtype=np.int64)]) for ids in values.to_pylist()],
+            ["".join(table[flat[start:end]]) if there else None for there, start, end in zip(known, np.append(0, ends).tolist(), ends.tolist())],
             type=pa.string(),
         )
 
@@ -198,8 +227,6 @@ def count_windows(texts: Sequence[str], order: int) -> tuple[list[str], np.ndarr
     return [flat[i : i + order] for i in range(0, len(flat), order)], counts
 
 
-SLICE_CHARS = 1 << 20  # characters counted at a time
-
 
 def window_counts(table: DataFrame, text: str, order: int, by: Sequence[str] = ()) -> DataFrame:
     """Counts of all ``order``-character windows, pre-aggregated inside the tasks.
