@@ -6,6 +6,7 @@ import pytest
 
 from textloom.functions import coding
 from textloom.functions.coding import decode_column, encode_column, merge_column
+from textloom.operators import bpe
 
 IDS = [[1, 2, 1, 2, 2], [], None, [2, 1], [1, 1, 2]]
 
@@ -31,3 +32,26 @@ def test_a_batch_takes_memory_in_proportion_to_its_ids():
         job(lists)
         assert tracemalloc.get_traced_memory()[1] < 24 * ids.size
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("size", [4, 40])
+def test_pairs_are_counted_over_the_chunks_of_a_task(size):
+    draw = np.random.default_rng(1)
+    chunks = {n: draw.integers(0, 4, 60, dtype=np.int32) for n in (5, 2, 9)}
+    counts = bpe._PairCounts(size)
+    want: dict = {}
+    for n, ids in chunks.items():
+        counts.add(n, ids)
+        for at, pair in enumerate(zip(ids.tolist(), ids[1:].tolist())):
+            seen = want.get(pair, (0, (n, at)))
+            want[pair] = (seen[0] + 1, min(seen[1], (n, at)))
+    rows = counts.batch().to_pylist()
+    assert {(r["left"], r["right"]): (r["n"], (r["chunk"], r["at"])) for r in rows} == want
+
+
+def test_a_task_gives_one_row_per_pair(spark):
+    """As many rows as chunks times pairs would grow with the stream."""
+    rows = [(n, [0, 1, 2] * 20) for n in range(40)]
+    tokens = spark.createDataFrame(rows, "chunk bigint, ids array<int>").coalesce(1)
+    found = bpe._pass_statistics(tokens, [], 3).where("NOT edge")
+    assert found.count() == 3 and found.agg({"n": "sum"}).first()[0] == 40 * 59

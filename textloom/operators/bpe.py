@@ -19,6 +19,7 @@ from textloom.session import materialize
 MAX_CHUNKS = 1 << 20
 LOOKAHEAD = 64     # best pairs the driver sees per pass
 REWRITE_EVERY = 8  # passes between rewrites of the token table
+DENSE_PAIRS = 1 << 22  # possible pairs that a task keeps a number for
 
 _STATS = S.StructType(
     [S.StructField(n, S.LongType()) for n in ("chunk", "left", "right", "n", "at", "lead", "trail")]
@@ -93,31 +94,65 @@ def _rewritten(tokens: DataFrame, merges: Sequence[Merge]) -> DataFrame:
     return materialize(tokens.mapInArrow(run, "chunk bigint, ids array<int>"), "tokens")
 
 
-def _pass_statistics(tokens: DataFrame, merges: Sequence[Merge]) -> DataFrame:
-    """Partial pair counts per chunk plus one edge row per non-empty chunk."""
+def _statistics_batch(chunk, left, right, n, at, lead, trail, edge: bool) -> pa.RecordBatch:
+    columns = zip(_STATS.names, (chunk, left, right, n, at, lead, trail))
+    return pa.RecordBatch.from_pydict({**{name: pa.array(values, pa.int64()) for name, values in columns}, "edge": pa.array([edge] * len(chunk))})
+
+
+class _PairCounts:
+    """Counts of the pairs in a task's chunks and where each is first; one number per possible pair."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.n, self.chunk, self.at = (np.full(size * size, fill, dtype=np.int64) for fill in (0, np.iinfo(np.int64).max, 0))
+
+    def add(self, chunk: int, ids: np.ndarray) -> None:
+        codes = ids[:-1].astype(np.int64) * self.size + ids[1:]
+        if codes.size < self.n.size // 8:
+            found, first, counts = np.unique(codes, return_index=True, return_counts=True)
+            self.n[found] += counts
+            new = self.chunk[found] > chunk
+            self.chunk[found[new]], self.at[found[new]] = chunk, first[new]
+            return
+        counts = np.bincount(codes, minlength=self.n.size)
+        self.n += counts
+        new = np.flatnonzero((counts > 0) & (self.chunk > chunk))
+        if new.size:
+            first = np.empty(self.n.size, dtype=np.int64)
+            first[codes[::-1]] = np.arange(codes.size - 1, -1, -1)  # of equal places the last one written counts
+            self.chunk[new], self.at[new] = chunk, first[new]
+
+    def batch(self) -> pa.RecordBatch:
+        found = np.flatnonzero(self.n)
+        none = np.zeros(found.size, dtype=np.int64)
+        return _statistics_batch(self.chunk[found], found // self.size, found % self.size, self.n[found], self.at[found], none, none, False)
+
+
+def _pass_statistics(tokens: DataFrame, merges: Sequence[Merge], size: int) -> DataFrame:
+    """Pair counts of each task and one edge row per non-empty chunk, of ``size`` different tokens.
+
+    Where a number for every possible pair is too much, each chunk has its own counts.
+    """
 
     def run(batches):
+        counts = _PairCounts(size) if size * size <= DENSE_PAIRS else None
         for chunk, ids in _rows(batches):
             ids = _apply(chunk, ids, merges)
             if ids.size == 0:
                 continue
-            wide = ids.astype(np.int64)
-            codes, first, counts = np.unique((wide[:-1] << 32) | wide[1:], return_index=True, return_counts=True)
-            turns = np.flatnonzero(np.diff(ids))
+            turns = np.flatnonzero(ids[1:] != ids[:-1])
             lead = int(turns[0]) + 1 if turns.size else ids.size
             trail = ids.size - 1 - int(turns[-1]) if turns.size else ids.size
-            extra = np.zeros(codes.size, dtype=np.int64)
-            column = lambda values, edge: pa.array(np.append(values, edge).astype(np.int64))
-            yield pa.RecordBatch.from_pydict({
-                "chunk": column(extra + chunk, chunk),
-                "left": column(codes >> 32, wide[0]),
-                "right": column(codes & 0xFFFFFFFF, wide[-1]),
-                "n": column(counts, ids.size),
-                "at": column(first, 0),
-                "lead": column(extra, lead),
-                "trail": column(extra, trail),
-                "edge": pa.array([False] * codes.size + [True]),
-            })
+            yield _statistics_batch([chunk], [ids[0]], [ids[-1]], [ids.size], [0], [lead], [trail], True)
+            if counts:
+                counts.add(chunk, ids)
+                continue
+            wide = ids.astype(np.int64)
+            codes, first, found = np.unique((wide[:-1] << 32) | wide[1:], return_index=True, return_counts=True)
+            none = np.zeros(codes.size, dtype=np.int64)
+            yield _statistics_batch(none + chunk, codes >> 32, codes & 0xFFFFFFFF, found, first, none, none, False)
+        if counts:
+            yield counts.batch()
 
     return tokens.mapInArrow(run, _STATS)
 
@@ -198,7 +233,7 @@ def train_bpe(docs: DataFrame, num_merges: int, key: str = "doc_id", text: str =
     passes = 0
     while True:
         # read twice within the pass; a lost block is computed again from the token table
-        stats = _pass_statistics(tokens, pending).persist()
+        stats = _pass_statistics(tokens, pending, len(model.vocab)).persist()
         edges = sorted(stats.where("edge").select("chunk", "left", "right", "n", "lead", "trail").collect(), key=lambda e: e["chunk"])
         length = sum(e["n"] for e in edges)
         if not model.merges:
