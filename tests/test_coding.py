@@ -55,3 +55,8 @@ def test_a_task_gives_one_row_per_pair(spark):
     tokens = spark.createDataFrame(rows, "chunk bigint, ids array<int>").coalesce(1)
     found = bpe._pass_statistics(tokens, [], 3).where("NOT edge")
     assert found.count() == 3 and found.agg({"n": "sum"}).first()[0] == 40 * 59
+
+
+def test_a_task_without_pairs_gives_edges_alone(spark):
+    tokens = spark.createDataFrame([(0, [1]), (1, [2])], "chunk bigint, ids array<int>").coalesce(1)
+    assert [r["edge"] for r in bpe._pass_statistics(tokens, [], 3).collect()] == [True, True]

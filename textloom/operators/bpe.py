@@ -96,7 +96,7 @@ def _rewritten(tokens: DataFrame, merges: Sequence[Merge]) -> DataFrame:
 
 def _statistics_batch(chunk, left, right, n, at, lead, trail, edge: bool) -> pa.RecordBatch:
     columns = zip(_STATS.names, (chunk, left, right, n, at, lead, trail))
-    return pa.RecordBatch.from_pydict({**{name: pa.array(values, pa.int64()) for name, values in columns}, "edge": pa.array([edge] * len(chunk))})
+    return pa.RecordBatch.from_pydict({**{name: pa.array(values, pa.int64()) for name, values in columns}, "edge": pa.array([edge] * len(chunk), pa.bool_())})
 
 
 class _PairCounts:
