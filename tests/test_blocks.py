@@ -48,3 +48,11 @@ def test_sketches_bound_the_difference():
         width = min(w.shape[1] for w in words)
         p, q = (B._folded(w, width) for w in words)
         assert int(B.np.bitwise_count(p ^ q).sum()) <= B.np.setxor1d(a, b).size
+
+
+def test_repeated_and_null_rows_lose_no_pair(spark):
+    texts = variants(20)
+    rows = list(enumerate(texts)) + [(n, texts[n]) for n in range(0, 20, 3)] + [(None, texts[0]), (99, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["i"], r["j"]) for r in D.jaccard_pairs(D.shingle_sets(docs)).collect())
+    assert got == sorted(brute_pairs(texts, 0.5))
