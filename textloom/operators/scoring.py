@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,11 +55,20 @@ def significance(summary: DataFrame, baseline: str, config: str = "config") -> D
 
 def compare_models(scores: DataFrame, a: str, b: str, position: Sequence[str] = ("seq_id", "pos")) -> DataFrame:
     """Mean losses, banded difference and share of equal predictions of two models."""
-    left = scores.where(F.col("model") == a).select(*position, F.col("loss").alias("loss_a"), F.col("pred").alias("pred_a"))
-    right = scores.where(F.col("model") == b).select(*position, F.col("loss").alias("loss_b"), F.col("pred").alias("pred_b"))
-    means = left.join(right, list(position)).agg(
-        F.avg("loss_a").alias("loss_a"), F.avg("loss_b").alias("loss_b"),
-        F.avg((F.col("pred_a") == F.col("pred_b")).cast("double")).alias("agreement"),
+    # Rows of one position count as all their pairs, a null prediction agrees with none and a null loss is left out.
+    own = lambda model, value: F.sum(F.when(F.col("model") == model, value).otherwise(0))
+    held = F.col("pred").isNotNull().cast("bigint")
+    present = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in position])
+    alike = scores.where(present & F.col("model").isin(a, b)).groupBy(*position, "pred").agg(*[
+        own(model, value).alias(f"{name}_{side}") for side, model in (("a", a), ("b", b)) for name, value in (
+            ("n", F.lit(1)), ("pred", held), ("loss", F.coalesce("loss", F.lit(0.0))), ("losses", F.col("loss").isNotNull().cast("bigint")))])
+    sums = [F.sum(f"{name}_{side}").alias(f"{name}_{side}") for side in "ab" for name in ("n", "pred", "loss", "losses")]
+    met = alike.groupBy(*position).agg(*sums, F.sum(F.col("pred_a") * F.col("pred_b")).alias("same"))
+    over = lambda x, y: F.sum(F.col(x) * F.col(y))
+    means = met.agg(
+        F.try_divide(over("loss_a", "n_b"), over("losses_a", "n_b")).alias("loss_a"),
+        F.try_divide(over("loss_b", "n_a"), over("losses_b", "n_a")).alias("loss_b"),
+        F.try_divide(F.sum("same"), over("pred_a", "pred_b")).alias("agreement"),
     )
     delta = F.col("loss_b") - F.col("loss_a")
     verdict = F.when(delta > SAME_BAND, F.lit("b_worse")).when(delta < -SAME_BAND, F.lit("b_better")).otherwise(F.lit("same"))
@@ -189,8 +199,8 @@ def policy_gradient_objective(sequences: DataFrame, beta: float = 0.05) -> DataF
     )
 
 
-def clipped_surrogate(tokens: DataFrame, clip_eps: float = 0.2) -> DataFrame:
-    """Masked clipped surrogate loss and share of clipped tokens; eps <= 0 disables clipping.
+def clipped_surrogate(tokens: DataFrame, clip_eps: float = 0.2, **means: Column) -> DataFrame:
+    """Masked clipped surrogate loss and share of clipped tokens, further masked means by name; eps <= 0 disables clipping.
 
     The surrogate min(r*A, clip(r)*A) is r*A less what r overshoots its bound
     in the direction that A rewards; without clipping the bound lies at infinity.
@@ -199,17 +209,18 @@ def clipped_surrogate(tokens: DataFrame, clip_eps: float = 0.2) -> DataFrame:
     over = F.greatest(F.abs(F.col("ratio") - 1) - width, F.lit(0.0))
     rewarded = F.signum(F.col("ratio") - 1) * F.col("advantage") > 0
     surrogate = F.col("ratio") * F.col("advantage") - F.when(rewarded, over * F.abs("advantage")).otherwise(0.0)
-    weighed = tokens.select(F.col("mask"), (surrogate * F.col("mask")).alias("gain"), F.when(over > 0, F.col("mask")).otherwise(0.0).alias("outside"))
+    outside = F.when(over > 0, F.col("mask")).otherwise(0.0)
     per_token = F.greatest(F.sum("mask"), F.lit(1.0))
-    return weighed.agg((-F.sum("gain") / per_token).alias("loss"), (F.sum("outside") / per_token).alias("clip_frac"))
+    return tokens.agg(
+        (-F.sum(surrogate * F.col("mask")) / per_token).alias("loss"), (F.sum(outside) / per_token).alias("clip_frac"),
+        *[(F.sum(value * F.col("mask")) / per_token).alias(name) for name, value in means.items()])
 
 
 def actor_critic_losses(tokens: DataFrame, sequences: DataFrame, clip_eps: float = 0.2, beta: float = 0.02, value_weight: float = 0.5) -> DataFrame:
     """Policy, masked divergence, value loss and their weighted sum."""
-    policy = clipped_surrogate(tokens, clip_eps)
-    kl = tokens.agg(F.sum((F.col("logp") - F.col("ref_logp")) * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(1.0))).scalar()
+    policy = clipped_surrogate(tokens, clip_eps, kl=F.col("logp") - F.col("ref_logp"))
     value = sequences.agg(F.avg(F.pow(F.col("value") - F.col("reward"), F.lit(2.0)))).scalar()
-    row = policy.select("loss", "clip_frac", kl.alias("kl"), value.alias("value_loss"))
+    row = policy.select("loss", "clip_frac", "kl", value.alias("value_loss"))
     return row.select(
         F.col("loss").alias("policy_loss"), "clip_frac", "kl", "value_loss",
         (F.col("loss") + beta * F.col("kl") + value_weight * F.col("value_loss")).alias("loss"),
