@@ -132,5 +132,5 @@ SELECT doc_id, axis, train, sha1(chosen) AS chosen, sha1(list_aggregate(list_sor
 def _(spark, sf):
     axes = G.control_axes(load(spark, sf, "documents"))
     return axes.select(
-        "doc_id", "axis", "train", F.sha1("chosen").alias("chosen"), F.sha1(F.array_join(F.array_sort(F.split("rejected", "")), "")).alias("rejected_chars")
+        "doc_id", "axis", "train", F.sha1("chosen").alias("chosen"), F.sha1(F.array_join(F.sort_array(F.split("rejected", "")), "")).alias("rejected_chars")
     )

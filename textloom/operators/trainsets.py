@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.ordinals import with_ordinal
+from textloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -148,7 +149,8 @@ def control_axes(segments: DataFrame, key: str = "doc_id", text: str = "text", s
     the order is for training, the second half is held out.
     """
     n = segments.agg(F.count("*")).scalar()
-    placed = with_ordinal(segments.select(key, text), key).withColumn("n", n)
+    ordinals = materialize(with_ordinal(materialize(segments.select(key), "keys"), key), "ordinals")
+    placed = segments.select(key, text).join(ordinals, key).withColumn("n", n)
     train = F.col("ordinal") < F.floor(F.col("n") / 2)
     real = placed.select(
         key, F.lit("learnable").alias("axis"), train.alias("train"), F.col(text).alias("chosen"), scrambled(F.col(text), seed).alias("rejected")
