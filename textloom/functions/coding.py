@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from textloom.functions.vectorized import code_points
+from textloom.functions.vectorized import code_points, text_slices
 
 BREAK = -1  # sits between two texts of a batch so that no pair spans them
 SLICE_CHARS = 1 << 20  # characters or tokens worked on at a time
@@ -241,7 +241,7 @@ def window_counts(table: DataFrame, text: str, order: int, by: Sequence[str] = (
             keys = list(zip(*[batch.column(g).to_pylist() for g in group])) if group else [()] * batch.num_rows
             waiting: dict[tuple, list[str]] = {}
             size = 0
-            for key, value in zip(keys, batch.column("_text").to_pylist()):
+            for key, value in zip(keys, (v for part in text_slices(batch.column("_text")) for v in part)):
                 waiting.setdefault(key, []).append(value or "")
                 size += len(value or "")
                 if size >= SLICE_CHARS:
