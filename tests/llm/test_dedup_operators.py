@@ -155,6 +155,69 @@ def test_families_around_the_similarity(spark, sizes, most):
     assert all(root[i] == root[c] for i, c in got.items())
 
 
+def test_connecting():
+    """Links that hold, a forest of them, connect what all that hold connect."""
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        size = int(rng.integers(2, 40))
+        sets = [np.unique(rng.integers(0, 12, rng.integers(0, 14))).astype(np.uint64) for _ in range(size)]
+        label = rng.integers(0, size, size)
+        x, y = rng.integers(0, size, (2, 300))
+        x, y = x[label[x] != label[y]], y[label[x] != label[y]]
+        got = list(zip(*near_texts.connecting(sets, x, y, label, 0.6)))
+
+        def alike(a, b):
+            common = np.intersect1d(sets[a], sets[b]).size
+            return common >= 0.6 * (sets[a].size + sets[b].size - common)
+
+        hold = [(label[a], label[b]) for a, b in zip(x.tolist(), y.tolist()) if alike(a, b)]
+        assert all(alike(a, b) for a, b in got)
+        root = smallest_reachable(set(label.tolist()), hold)
+        assert smallest_reachable(set(label.tolist()), [(label[a], label[b]) for a, b in got]) == root
+        assert len(got) == len(root) - len(set(root.values()))
+
+
+def test_dense_group_of_texts_that_are_not_similar(spark, monkeypatch):
+    """Texts of one base that miss the similarity narrowly, and a few that have it: no row for each pair of them."""
+    draw = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = draw.choices(vocabulary, k=400)
+    rows = []
+    for n in range(400):
+        words = list(base) if n < 380 else rows[n - 380][1].split()
+        for at in draw.sample(range(len(words)), 6 if n < 380 else 1):
+            words[at] = draw.choice(vocabulary)
+        rows.append((n, " ".join(words)))
+    sets = {i: shingles(t) for i, t in rows}
+    alike = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = smallest_reachable(sets, alike)
+    assert 100 < len(set(root.values())) < 400
+    links, confirmed = [], near_texts.confirmed
+    monkeypatch.setattr(near_texts, "confirmed", lambda found, *more: (links.append(found.count()), confirmed(found, *more))[1])
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_texts.near_duplicates(table).collect()}
+    assert all(root[i] == root[c] for i, c in got.items())
+    assert sum(got[i] == root[i] for i in root) >= 0.97 * len(root)
+    assert sum(links) < 0.5 * len(rows) * (len(rows) - 1) / 2
+
+
+@pytest.mark.parametrize("most", [1 << 20, 500])
+def test_links_that_connect_a_group(spark, most):
+    """A group is read in blocks if it has many shingles; rows of one doc_id have several texts."""
+    draw = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = list(enumerate(family(draw, vocabulary, 30))) + [(31, ""), (32, "few words")]
+    rows += [rows[3], (5, "another text of one doc_id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    prints = near_texts.wide_prints(docs, 5).withColumnRenamed("doc_id", "rep").distinct()
+    dealt = prints.selectExpr("1L AS key", "rep", "w0", "w1", "w2", "w3")
+    got = [tuple(r) for r in near_texts.connecting_links(dealt, None, docs, 5, 0.8, most).collect()]
+    ids = {i for i, _ in rows}
+    hold = [(i, j) for (i, s), (j, t) in combinations(rows, 2) if i != j and len(shingles(s) & shingles(t)) >= 0.8 * len(shingles(s) | shingles(t))]
+    assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in hold}
+    assert smallest_reachable(ids, got) == smallest_reachable(ids, hold) != {i: i for i in ids}
+
+
 def test_repeated_passages(spark):
     draw = random.Random(6)
     vocabulary = [f"v{i}" for i in range(2000)]

@@ -13,9 +13,11 @@ shingle sets in rounds.  A round takes ``FORESTS`` edge-disjoint spanning
 forests of least distance from each group, over what the links confirmed so
 far connect, so copies cost links in proportion to their number.  A forest
 link may fail the check and hide others that hold; so a group of which
-candidates between different components are left over goes to the next round,
-and the last round takes all of them.  No candidate is lost: each is checked,
-or its ends are connected already.
+candidates between different components are left over goes to the next round.
+In the last the shingle sets come to the group: each candidate that is left is
+checked inside the task, and only links that hold and connect become rows,
+fewer than the group has members.  No candidate is lost: each is checked, or
+its ends are connected already.
 
 Groups of over ``GROUP`` fingerprints are dealt again by further bits; what is
 still too large is cut into parts by hash, each with the group's smallest
@@ -47,8 +49,9 @@ MISS = 0.02
 MARGIN = 0.1
 GROUP = 1024
 REDEALS, MORE_BITS = 8, 10
-FORESTS = (1, 8, 64, None)
+FORESTS = (1, 8)
 BROADCAST_IDS = 2_000_000
+BLOCK_SHINGLES = 1 << 20
 _FRONT = 1 << 20
 _FIRST_SD = 4.0
 
@@ -125,7 +128,7 @@ def deal(distinct: DataFrame, similarity: float, most: int) -> tuple[DataFrame,
     return cold.unionByName(finer.join(dense, "key", "left_anti")).unionByName(members).unionByName(heads), cut
 
 
-def blocks(cut: DataFrame, roots: DataFrame) -> DataFrame:
+def blocks(cut: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(key, rep, w0..w3): every two parts of a dense group that is in several components so far."""
     named = stored(_labelled(cut, roots), "labelled")
     ends = named.groupBy("dense").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -173,7 +176,7 @@ def layers(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, forests:
 
 
 def candidate_links(
-    codes: np.ndarray, group: np.ndarray, label: np.ndarray, first: int, most: int, forests: int | None
+    codes: np.ndarray, group: np.ndarray, label: np.ndarray, first: int, most: int, forests: int | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of different labels inside groups: at most ``first`` of the first 64 bits differ, and ``most`` of all.
 
@@ -209,11 +212,15 @@ def candidate_links(
     return order[a], order[b], np.unique(np.concatenate(over))
 
 
-def candidates(dealt: DataFrame, similarity: float, roots: DataFrame | None = None, forests: int | None = 1) -> DataFrame:
-    """(a, b, key): links between representatives that their fingerprints take for similar, and the keys of groups with some left over."""
+def _bounds(similarity: float) -> tuple[int, int]:
+    """Bits that may differ in a candidate: of the first 64, and of all."""
     loose = share_of_bits(max(0.0, similarity - MARGIN))
-    most = math.ceil(BITS * loose)
-    first = math.ceil(64 * loose + _FIRST_SD * math.sqrt(64 * loose * (1 - loose)))
+    return math.ceil(64 * loose + _FIRST_SD * math.sqrt(64 * loose * (1 - loose))), math.ceil(BITS * loose)
+
+
+def candidates(dealt: DataFrame, similarity: float, roots: DataFrame | None = None, forests: int = 1) -> DataFrame:
+    """(a, b): links between representatives that their fingerprints take for similar; with ``key`` and w0..w3, the members a of groups with some left over."""
+    first, most = _bounds(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -225,21 +232,22 @@ def candidates(dealt: DataFrame, similarity: float, roots: DataFrame | None = No
         keys, group = np.unique(key, return_inverse=True)
         several = np.bincount(group)[group] > 1
         if several.any():
-            rep = rep[several]
-            a, b, over = candidate_links(codes[several], group[several], label[several], first, most, forests)
+            rep, group, codes = rep[several], group[several], codes[several]
+            a, b, over = candidate_links(codes, group, label[several], first, most, forests)
             pairs = np.unique(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])], axis=1), axis=0)
-            none = np.full(over.size, None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[pairs[:, n].astype(object), none], pa.int64()) for n in (0, 1)]
-                + [pa.array(np.r_[np.full(pairs.shape[0], None), keys[over].astype(object)], pa.int64())],
-                names=["a", "b", "key"],
-            )
+            none = pa.nulls(pairs.shape[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, n]) for n in (0, 1)] + [none] * (1 + len(WORDS)), names=names)
+            open_ = np.isin(group, over)
+            words = [pa.array(codes[open_, n].view(np.int64)) for n in range(len(WORDS))]
+            left = [pa.array(rep[open_]), pa.nulls(int(open_.sum()), pa.int64()), pa.array(keys[group[open_]])]
+            yield pa.RecordBatch.from_arrays(left + words, names=names)
 
-    return _labelled(dealt, roots).repartition(F.col("key")).mapInArrow(run, "a bigint, b bigint, key bigint").distinct()
+    names = ["a", "b", "key", *WORDS]
+    return _labelled(dealt, roots).repartition(F.col("key")).mapInArrow(run, ", ".join(f"{n} bigint" for n in names)).distinct()
 
 
 def similar_links(dealt: DataFrame, cut: DataFrame | None, docs: DataFrame, width: int, similarity: float) -> DataFrame | None:
-    """(node, root) over the links that hold, from rounds of ``FORESTS``; None if there are none."""
+    """(node, root) over the links that hold, from rounds of ``FORESTS`` and one of all that is left; None if there are none."""
     checked = held = roots = None
     for turn, forests in enumerate(FORESTS):
         found = stored(candidates(dealt, similarity, roots, forests), "candidates")
@@ -253,25 +261,93 @@ def similar_links(dealt: DataFrame, cut: DataFrame | None, docs: DataFrame, widt
             if not true.isEmpty():
                 held = true if held is None else held.unionByName(true)
                 roots = stored(components(held), "roots")
-        left = stored(found.where("key IS NOT NULL").select("key").distinct(), "open")
-        again = dealt.join(F.broadcast(left) if left.count() <= BROADCAST_IDS else left, "key", "left_semi")
-        if turn == 0 and cut is not None and roots is not None:
-            again = again.unionByName(blocks(cut, roots))
-        elif left.isEmpty():
-            break
-        dealt = again
-    return roots
-
-
-def confirmed(links: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The links whose texts' shingle sets have the wanted Jaccard similarity."""
-    ids = stored(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        dealt = found.where("key IS NOT NULL").select("key", F.col("a").alias("rep"), *WORDS)
+        if turn == 0 and cut is not None:
+            dealt = dealt.unionByName(blocks(cut, roots))
+        elif dealt.isEmpty():
+            return roots
+    rest = stored(connecting_links(dealt, roots, docs, width, similarity), "rest")
+    if rest.isEmpty():
+        return roots
+    return stored(components(rest if held is None else held.unionByName(rest)), "roots")
+
+
+def shingle_rows(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles): the shingle sets of the documents in ids."""
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def sets(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "shingles": [shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()]}
 
-    held = stored(per_batch(docs.join(near, "doc_id", "left_semi"), sets, "doc_id bigint, shingles binary"), "shingles")
+    return per_batch(docs.join(near, "doc_id", "left_semi"), sets, "doc_id bigint, shingles binary")
+
+
+def connecting(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, label: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Of the links x-y those that hold and connect labels which the ones before them leave apart."""
+    sizes = np.array([s.size for s in sets])
+    ends = np.cumsum(sizes)
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    label, marked = label.copy(), np.zeros(values.size, dtype=bool)
+    order = np.argsort(x, kind="stable")
+    members, starts = np.unique(x[order], return_index=True)
+    a: list[int] = []
+    b: list[int] = []
+    for member, others in zip(members.tolist(), np.split(y[order], starts[1:])):
+        others = others[label[others] != label[member]]
+        if not others.size:
+            continue
+        own = place[ends[member] - sizes[member] : ends[member]]
+        marked[own] = True
+        upto = np.r_[0, np.cumsum(marked[place])]
+        marked[own] = False
+        common = upto[ends[others]] - upto[ends[others] - sizes[others]]
+        hits = others[common >= similarity * (sizes[member] + sizes[others] - common)]
+        met, at = np.unique(label[hits], return_index=True)
+        a += [member] * met.size
+        b += hits[at].tolist()
+        label[np.isin(label, met)] = label[member]
+    return a, b
+
+
+def connecting_links(dealt: DataFrame, roots: DataFrame | None, docs: DataFrame, width: int, similarity: float, most: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b): of all candidates inside the groups links that hold, enough to connect what any of them connects.
+
+    A group with over ``most`` shingles in its larger sets is cut into parts by hash, of which every two meet.
+    """
+    first, bits = _bounds(similarity)
+    named = stored(_labelled(dealt, roots), "labelled")
+    ends = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = stored(named.join(ends.where("low < high").select("key"), "key", "left_semi"), "split")
+    # rows of one doc_id may have other texts, of which any may hold
+    ids = stored(open_.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    sets = stored(shingle_rows(docs, ids, width).distinct().withColumnRenamed("doc_id", "rep"), "shingles")
+    sizes = sets.groupBy("rep").agg((F.sum(F.length("shingles")) / 8).alias("size"))
+    large = stored(sizes.where(F.col("size") > most / GROUP), "large")
+    parts = open_.join(large, "rep").groupBy("key").agg(F.ceil(F.sum("size") / most).cast("int").alias("parts"))
+    parts = stored(parts.where("parts > 1"), "parts")
+    block = F.col("key")
+    if not parts.isEmpty():
+        other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")
+        open_ = open_.join(parts, "key", "left").select("*", F.pmod(F.xxhash64("key", "rep"), F.coalesce("parts", F.lit(1))).alias("part"), other)
+        block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    met = open_.select(block.alias("block"), "rep", "label", *WORDS).join(sets, "rep")
+
+    def check(group: pa.Table) -> pa.Table:
+        rep, label = (group.column(c).to_numpy() for c in ("rep", "label"))
+        codes = np.stack([group.column(w).to_numpy().view(np.uint64) for w in WORDS], axis=1)
+        x, y, _ = candidate_links(codes, np.zeros(rep.size, dtype=np.int64), label, first, bits)
+        near, place = np.unique(np.r_[x, y], return_inverse=True)
+        own = [np.frombuffer(group.column("shingles")[n].as_py(), dtype=np.uint64) for n in near.tolist()]
+        a, b = connecting(own, place[: x.size], place[x.size :], label[near], similarity) if own else ([], [])
+        return pa.table({"a": pa.array(rep[near[a]] if a else [], pa.int64()), "b": pa.array(rep[near[b]] if b else [], pa.int64())})
+
+    return met.groupBy("block").applyInArrow(check, "a bigint, b bigint").distinct()
+
+
+def confirmed(links: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links whose texts' shingle sets have the wanted Jaccard similarity."""
+    ids = stored(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    held = stored(shingle_rows(docs, ids, width), "shingles")
     met = links.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(
         held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"
     )
