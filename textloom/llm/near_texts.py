@@ -12,8 +12,8 @@ Candidates are checked against the true Jaccard similarity of the texts'
 shingle sets in rounds.  A round takes ``FORESTS`` edge-disjoint spanning
 forests of least distance from each group, over what the links confirmed so
 far connect, so copies cost links in proportion to their number.  A forest
-link may fail the check and hide others that hold; so a group of which
-candidates between different components are left over goes to the next round.
+link may fail the check and hide others that hold; so members of
+which candidates of other components are left over go to the next round.
 In the last the shingle sets come to the group: each candidate that is left is
 checked inside the task, and only links that hold and connect become rows,
 fewer than the group has members.  No candidate is lost: each is checked, or
@@ -181,8 +181,8 @@ def candidate_links(
     """Pairs of different labels inside groups: at most ``first`` of the first 64 bits differ, and ``most`` of all.
 
     ``codes`` has a row of words for each member; places in it are returned, and
-    the groups of which pairs are left over.  Of a group's pairs those of
-    ``forests`` spanning forests over its labels are taken; None takes all.
+    those of the members of pairs that are left over.  Of a group's pairs those
+    of ``forests`` spanning forests over its labels are taken; None takes all.
     """
     order = np.lexsort((gray_rank(codes[:, 0]), group))
     codes, group = codes[order], group[order]
@@ -191,11 +191,11 @@ def candidate_links(
     levels = build_index(lead, group)
     roots, weight = root_nodes(levels, group)
     a = b = dist = np.empty(0, dtype=np.int64)
-    over = [group[:0]]
+    over = [order[:0]]
 
     def thinned() -> np.ndarray:
         keep = layers(lead.size, node[a], node[b], dist, forests)
-        over.append(np.unique(group[a[~keep]]))
+        over.append(np.unique(np.r_[a[~keep], b[~keep]]))
         return keep
 
     for start, end in cuts(weight, _FRONT):
@@ -209,7 +209,7 @@ def candidate_links(
     if forests is not None:
         keep = thinned()
         a, b = a[keep], b[keep]
-    return order[a], order[b], np.unique(np.concatenate(over))
+    return order[a], order[b], order[np.unique(np.concatenate(over))]
 
 
 def _bounds(similarity: float) -> tuple[int, int]:
@@ -219,7 +219,7 @@ def _bounds(similarity: float) -> tuple[int, int]:
 
 
 def candidates(dealt: DataFrame, similarity: float, roots: DataFrame | None = None, forests: int = 1) -> DataFrame:
-    """(a, b): links between representatives that their fingerprints take for similar; with ``key`` and w0..w3, the members a of groups with some left over."""
+    """(a, b): links between representatives that their fingerprints take for similar; with ``key`` and w0..w3, the members a of those left over."""
     first, most = _bounds(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +237,8 @@ def candidates(dealt: DataFrame, similarity: float, roots: DataFrame | None = No
             pairs = np.unique(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])], axis=1), axis=0)
             none = pa.nulls(pairs.shape[0], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, n]) for n in (0, 1)] + [none] * (1 + len(WORDS)), names=names)
-            open_ = np.isin(group, over)
-            words = [pa.array(codes[open_, n].view(np.int64)) for n in range(len(WORDS))]
-            left = [pa.array(rep[open_]), pa.nulls(int(open_.sum()), pa.int64()), pa.array(keys[group[open_]])]
+            words = [pa.array(codes[over, n].view(np.int64)) for n in range(len(WORDS))]
+            left = [pa.array(rep[over]), pa.nulls(over.size, pa.int64()), pa.array(keys[group[over]])]
             yield pa.RecordBatch.from_arrays(left + words, names=names)
 
     names = ["a", "b", "key", *WORDS]
