@@ -372,6 +372,37 @@ def test_passage_of_common_parts(spark):
     assert {tuple(r) for r in got} == {(4, 70, 150, 5, 70, 150, 80), (5, 70, 150, 4, 70, 150, 80)}
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_passage_with_replaced_words_between_middle_documents(spark, monkeypatch, block):
+    """No 50 words in a row agree, and the first and last document of its seeds have a half of the passage."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    draw = random.Random(14)
+
+    def prose(n):
+        return [f"c{draw.randrange(10**6)}" for _ in range(n)]
+
+    left, right = prose(40), prose(40)
+    replaced = left + right
+    for at in (20, 41, 62):
+        replaced[at] = "other"
+    middle = {1: left, 9: left, 2: right, 8: right, 4: left + right, 6: replaced}
+    rows = [(i, " ".join(prose(70) + words + prose(30 + i))) for i, words in middle.items()]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == [(4, 70, 150, 6, 70, 150, 77), (6, 70, 150, 4, 70, 150, 77)]
+
+
+def test_seeds_have_their_places():
+    draw = np.random.default_rng(15)
+    for words in (3, 40):
+        hashes = passages.kmers(draw.integers(0, words, 300).astype(np.uint32))
+        found, first, last = passages.placed_minimizers(hashes)
+        assert found.tolist() == passages.minimizers(hashes).tolist()
+        for seed, low, high in zip(found, first, last):
+            n = int(seed - hashes[low])
+            places = np.flatnonzero(hashes == hashes[low]).tolist()
+            assert places[n] == low and high == (places[-1] if n == passages.SEEDS - 1 else low)
+
+
 def test_every_repeated_run_has_a_row(spark):
     """Documents of a few common lines: each run of 50 words that two documents have lies in a passage of both."""
     draw = random.Random(12)
