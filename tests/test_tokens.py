@@ -77,6 +77,65 @@ def test_bpe_training_equals_one_pair_at_a_time(spark, texts, chunk_chars):
     assert learned == ids
 
 
+@pytest.mark.parametrize("chunk_chars, rim, ranked", [(1 << 20, 48, 4096), (150, 48, 4096), (150, 6, 12), (40, 3, 40)])
+def test_merges_tried_ahead_are_those_of_one_pair_at_a_time(spark, monkeypatch, chunk_chars, rim, ranked):
+    """Passes are fewer than merges, whatever is seen of the borders and of the ranking; a pass takes no row of a whole table at once."""
+    monkeypatch.setattr(B, "RIM", rim)
+    monkeypatch.setattr(B, "RANKED", ranked)
+    monkeypatch.setattr(B, "REWRITE_AFTER", 20)
+    rng = random.Random(chunk_chars + rim)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(25)] + ["aaaa", "aaaaaaa", "   "]
+    texts = [" ".join(rng.choices(words, weights=range(1, len(words) + 1), k=rng.randint(1, 60))) for _ in range(60)]
+    base, rules, log, ids = bpe(corpus(texts), 60)
+    passes = []
+    counted = B._pass_statistics
+    monkeypatch.setattr(B, "_pass_statistics", lambda *a: passes.append(len(a[-1])) or counted(*a))
+    model = B.train_bpe(table(spark, texts), 60, chunk_chars=chunk_chars)
+    assert (model.base, model.merges) == (base, rules)
+    assert [(e[4], e[6]) for e in model.log] == log
+    assert [i for r in model.tokens.orderBy("chunk").collect() for i in r["ids"]] == ids
+    assert any(passes) and (len(passes) < 30 or rim < 48)
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_merger_counts_what_each_merge_changes(monkeypatch, dense):
+    monkeypatch.setattr(B, "DENSE_PAIRS", 1 << 22 if dense else 0)
+    draw = np.random.default_rng(7)
+    for _ in range(200):
+        size = int(draw.integers(1, 4))
+        ids = draw.integers(0, size, int(draw.integers(1, 60))).astype(np.int32)
+        merges, own, states = [], ids, [ids]
+        for _ in range(int(draw.integers(1, 8))):
+            if own.size < 3:
+                break
+            at = int(draw.integers(0, own.size - 1))
+            left, right, new = int(own[at]), int(own[at + 1]), size + len(merges)
+            yields = bool(own[0] == right and draw.integers(2))
+            rest = merge_pair(own[1:] if yields else own, left, right, new)
+            absorbs, yields = (np.array([5] if x else [], dtype=np.int64) for x in (rest[-1] == left and draw.integers(2), yields))
+            merges.append(B.Merge(left, right, new, absorbs, yields))
+            own = B._apply(5, own, merges[-1:])
+            states.append(own)
+        merger = B._Merger(merges, size + len(merges), dense)
+        assert merger.apply(5, ids).tolist() == own.tolist()
+        if not dense:
+            continue
+        changed = B._changes_batch(merger).to_pydict()
+        for step, (x, y) in enumerate(zip(states, states[1:])):
+            want = {}
+            for state, sign in ((x, -1), (y, 1)):
+                for pair in zip(state[:-1].tolist(), state[1:].tolist()):
+                    want[pair] = want.get(pair, 0) + sign
+            got = {}
+            for s, left, right, n in zip(*(changed[c] for c in ("step", "left", "right", "n"))):
+                if s == step:
+                    got[left, right] = got.get((left, right), 0) + n
+            assert got.pop((-1, -1)) == x.size - y.size
+            merged = (merges[step].left, merges[step].right)
+            assert merged not in list(zip(y[:-1].tolist(), y[1:].tolist())) or merges[step].absorbs.size
+            assert {p: n for p, n in got.items() if n and p != merged} == {p: n for p, n in want.items() if n and p != merged}
+
+
 def test_bpe_round_trip_and_persistence(spark, tmp_path):
     docs = table(spark, [TEXT])
     model = B.train_bpe(docs, 20)

@@ -236,7 +236,7 @@ def _subwords(spark, sf):
     """Token rows of the stream after all merges, placed."""
     key = (spark.sparkContext.applicationId, sf, "placed")
     if key not in _models:
-        _models[key] = materialize(ST.placed_tokens(_model(spark, sf).tokens, "chunk"), "subwords")
+        _models[key] = materialize(ST.placed_tokens(_model(spark, sf).tokens, "chunk"), "subwords", **B.FEW_ROWS)
     return _models[key]
 
 

@@ -30,17 +30,23 @@ def look_up(table: np.ndarray, text: str) -> np.ndarray:
     return table[np.minimum(code_points(text), table.size - 1)]
 
 
-def merge_pair(ids: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
-    """Replace the pair everywhere, left to right, without overlaps."""
+def pair_places(ids: np.ndarray, left: int, right: int) -> np.ndarray:
+    """Where the pair starts, left to right, without overlaps."""
     hit = np.flatnonzero(ids[:-1] == left)
     hit = hit[ids[hit + 1] == right]
-    if hit.size == 0:
-        return ids
-    if left == right:
+    if left == right and hit.size:
         # In a run of equal tokens every second position starts a merge.
         fresh = np.concatenate(([True], np.diff(hit) > 1))
         run_start = hit[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         hit = hit[(hit - run_start) % 2 == 0]
+    return hit
+
+
+def merge_pair(ids: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
+    """Replace the pair everywhere, left to right, without overlaps."""
+    hit = pair_places(ids, left, right)
+    if hit.size == 0:
+        return ids
     out = ids.copy()
     out[hit] = new
     keep = np.ones(ids.size, dtype=bool)
