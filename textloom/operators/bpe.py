@@ -99,8 +99,9 @@ def _number(size: int) -> str:
 
 def _rows(batches: Iterator[pa.RecordBatch], number: str) -> Iterator[tuple[int, np.ndarray]]:
     for batch in batches:
+        lists = pa.types.is_list(batch.schema.field("ids").type)
         for chunk, ids in zip(batch.column("chunk").to_pylist(), batch.column("ids")):
-            yield chunk, np.frombuffer(ids.as_buffer(), number).astype(np.int32)
+            yield chunk, np.asarray(ids.values, dtype=np.int32) if lists else np.frombuffer(ids.as_buffer(), number).astype(np.int32)
 
 
 def _token_row(chunk: int, ids: np.ndarray, number: str) -> pa.RecordBatch:
@@ -299,7 +300,7 @@ class _PairCounts:
         return _statistics_batch(self.chunk[found], found // self.size, found % self.size, self.n[found], self.at[found], none, none, False)
 
 
-def _pass_statistics(tokens: DataFrame, merges: Sequence[Merge], size: int, number: str, expected: Sequence[Merge] = ()) -> DataFrame:
+def _pass_statistics(tokens: DataFrame, merges: Sequence[Merge], size: int, number: str = "<i4", expected: Sequence[Merge] = ()) -> DataFrame:
     """Pair counts of each task, one edge row per non-empty chunk, of ``size`` different tokens, and what the expected merges change.
 
     Where a number for every possible pair is too much, each chunk has its own counts.
